@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, decontam, langid, pii, simhash
-from corpusloom.llm.base import table
+from corpusloom.llm import bpe, decontam, kdshard, langid, pii, quality, secrets, simhash
+from corpusloom.llm.base import cut, table
 
 #: The pseudonym key of the registered query; a deployment passes its own.
 DEMO_KEY = "corpusloom-demonstration-key"
@@ -21,6 +21,14 @@ def op1_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(docs, DEMO_KEY)
 
 
+def op3_quality_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rows = cut(quality.measured(docs, "text", keep=["doc_id", "lang"]))
+    cutoffs = quality.calibrate(rows, table(spark, sf_dir, "labels"), "doc_id", "lang")
+    failed = quality.base_failed()
+    return rows.select("doc_id", *quality.BASE, failed.alias("base_failed"), (~failed & quality.verdict(cutoffs, "lang")).alias("kept"))
+
+
 def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", words=4, radius=4)
     hexed = F.lower(F.lpad(F.hex("simhash"), 16, "0"))
@@ -34,6 +42,26 @@ def op5_langid_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    # Copies of a text differ in their source, so that isn't a dimension: they would be dealt apart.
+    dims = {"lang": kdshard.of_string(F.col("lang"))}
+    out = kdshard.kd_shards(docs, "doc_id", "text", dims, shards=40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, _ = secrets.scan_versions(docs, "doc_id", "text")
+
+    def count(kind: str):
+        return F.size(F.filter("findings", lambda f: f.startswith(kind + ":"))).cast("bigint").alias(f"n_{kind}")
+
+    base = F.filter("findings", lambda f: F.split_part(f, F.lit(":"), F.lit(1)).isin(*secrets.BASE))
+    digest = F.sha2(F.array_join(base, ",").cast("binary"), 256)
+    return found.select("doc_id", *[count(k) for k in secrets.BASE], digest.alias("base_sha256"), F.array_join("findings", ",").alias("spans"))
+
+
 def op9_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = bpe.bpe_encode(docs, TOKENIZER, "text", decoded=True, keep=["doc_id"])
@@ -69,8 +97,11 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_feistel": op1_pii_feistel,
+    "op3_quality_risk": op3_quality_risk,
     "op4_simhash_bktree": op4_simhash_bktree,
     "op5_langid_crf": op5_langid_crf,
+    "op6_kd_shards": op6_kd_shards,
+    "op8_secret_ledger": op8_secret_ledger,
     "op9_bpe_backtracking": op9_bpe_backtracking,
     "op10_decontam_automaton": op10_decontam_automaton,
 }
