@@ -120,7 +120,7 @@ def kd_tree(meta: DataFrame, size: str, dims: list[str], shards: int) -> _Node:
                 which = F.when(mine, value) if which is None else which.when(mine, value)
                 inside = inside | (mine & code.between(s.lo, s.hi))
             sums: dict[int, list] = {}
-            for n, b, w in placed.where(inside).groupBy("node", which.alias("bin")).agg(F.sum(size)).toLocalIterator():
+            for n, b, w in placed.where(inside).groupBy("node", which.alias("bin")).agg(F.sum(size)).collect():
                 sums.setdefault(n, []).append((b, w))
             spans = {n: s for n, s in spans.items() if not s.narrowed(sorted(sums.get(n, [])))}
         for x in todo:

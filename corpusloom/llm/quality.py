@@ -154,7 +154,7 @@ def calibrate(rows: DataFrame, labels: DataFrame, key: str, stratum: str, qualit
     bins = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.floor(s * GRID).cast("int").alias("bin")) for r, s in scores().items()]))
     got = own.select(F.coalesce(quoted(stratum), F.lit("")).alias("stratum"), (F.col("__good") == 1).alias("good"), bins.alias("s"))
     counts: dict[tuple[str, str], dict[tuple[int, bool], int]] = {}
-    for st, rule, b, good, n in got.groupBy("stratum", "s.rule", "s.bin", "good").count().toLocalIterator():
+    for st, rule, b, good, n in got.groupBy("stratum", "s.rule", "s.bin", "good").count().collect():
         counts.setdefault((st, rule), {})[(b, good)] = n
     return choose(counts, rate, level)
 
