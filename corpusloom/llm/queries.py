@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, decontam, kdshard, langid, pii, quality, secrets, simhash
+from corpusloom.llm import bpe, chat, decontam, kdshard, langid, mainext, pii, quality, secrets, simhash
 from corpusloom.llm.base import cut, table
 
 #: The pseudonym key of the registered query; a deployment passes its own.
@@ -21,6 +21,10 @@ def op1_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(docs, DEMO_KEY)
 
 
+def op2_chat_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.parse(table(spark, sf_dir, "conversations"))
+
+
 def op3_quality_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     rows = cut(quality.measured(docs, "text", keep=["doc_id", "lang"]))
@@ -50,6 +54,10 @@ def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainext.extract(table(spark, sf_dir, "pages"), "html", keep=["page_id", "url"])
+
+
 def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found, _ = secrets.scan_versions(docs, "doc_id", "text")
@@ -97,10 +105,12 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_feistel": op1_pii_feistel,
+    "op2_chat_hmm": op2_chat_hmm,
     "op3_quality_risk": op3_quality_risk,
     "op4_simhash_bktree": op4_simhash_bktree,
     "op5_langid_crf": op5_langid_crf,
     "op6_kd_shards": op6_kd_shards,
+    "op7_html_blocks": op7_html_blocks,
     "op8_secret_ledger": op8_secret_ledger,
     "op9_bpe_backtracking": op9_bpe_backtracking,
     "op10_decontam_automaton": op10_decontam_automaton,
