@@ -7,12 +7,13 @@ import zlib
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TIBETAN = str.maketrans("0123456789", "༠༡༢༣༤༥༦༧༨༩")
 ASCII = str.maketrans("༠༡༢༣༤༥༦༧༨༩", "0123456789")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(c: pd.Series) -> pd.Series:
     """Unicode normal form C; null stays null."""
     return c.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
@@ -52,7 +53,7 @@ def substitute(dz: str, en: str, *key: object) -> tuple[str, str] | None:
     return out_dz, re.sub(r"\d+", lambda m: put(m, False) if m[0].translate(ASCII) in new else m[0], en)
 
 
-@F.pandas_udf("struct<dz string, en string>")
+@F.pandas_udf(T.StructType([T.StructField("dz", T.StringType()), T.StructField("en", T.StringType())]))
 def substitute_digits(dz: pd.Series, en: pd.Series, key: pd.Series) -> pd.DataFrame:
     """Struct of both sides with numbers replaced, nulls where no substitution holds."""
     rows = [(substitute(a, b, k) if a is not None and b is not None else None) or (None, None) for a, b, k in zip(dz, en, key)]
