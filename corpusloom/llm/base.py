@@ -12,6 +12,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows that a worker turns into Python objects, and sends back, at a time: bounds its memory whatever the batch.
+SLICE = 1024
+
+_held: dict[object, object] = {}
+
+
+def held(key: object, build: Callable[[], object]) -> object:
+    """``build()``, kept in the worker process for its next tasks; one thing for all operators at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` under ``sf_dir``, through Spark's own reader only."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,6 +57,13 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def aside(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """``df`` with columns called like ``names`` renamed, and what gives each column its name again."""
+    free = set(without(df, names))
+    renamed = {c: c if c in free else f"__aside_{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[quoted(c).alias(new) for c, new in renamed.items()]), {c: quoted(new).alias(c) for c, new in renamed.items()}
+
+
 def append_arrow(
     df: DataFrame,
     inputs: Sequence[str],
@@ -64,9 +85,12 @@ def append_arrow(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            out = work(*[batch.column(i) for i in at])
-            cols = [a if isinstance(a, pa.Array) else pa.array(a, type=k) for a, k in zip(out, kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *cols], names=names)
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                out = work(*[part.column(j) for j in at])
+                cols = [a if isinstance(a, pa.Array) else pa.array(a, type=k) for a, k in zip(out, kinds)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *cols], names=names)
+        pa.default_memory_pool().release_unused()
 
     schema = T.StructType([*rows.schema.fields[:n], *[T.StructField(name, kind) for name, kind, _ in fields]])
     return rows.mapInArrow(run, schema)

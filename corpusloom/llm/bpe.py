@@ -23,14 +23,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from corpusloom.llm.base import append_arrow, texts
+from corpusloom.llm.base import append_arrow, held, texts
 
 #: Fixed: the pre-tokenizer's published pattern, with white space as Unicode's property.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: Where splitting at single spaces could cut a run of white space.
 RUNS = regex.compile(r"[\p{White_Space}]{2}|\p{White_Space}\Z")
 #: Entries of a worker's cache before it starts anew; bounds memory, never results.
-CACHE = 400_000
+CACHE = 150_000
 _MARKS = frozenset(".,!?;:")
 
 
@@ -91,7 +91,7 @@ class Bpe:
         key = a * self.size + b
         known = self.compatible.get(key)
         if known is None:
-            if len(self.compatible) > 4 * CACHE:
+            if len(self.compatible) > 2 * CACHE:
                 self.compatible.clear()
             known = self.compatible[key] = self._apart(a, b)
         return known
@@ -203,16 +203,9 @@ class _Pieces(dict):
         return ids
 
 
-_loaded: dict[int, Bpe] = {}
-
-
 def load(blob: bytes) -> Bpe:
     """The vocabulary, built once in each worker process."""
-    key = hash(blob)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Bpe(blob)
-    return _loaded[key]
+    return held(("bpe", hash(blob)), lambda: Bpe(blob))
 
 
 def bpe_encode(df: DataFrame, tokenizer: str, text: str = "text", *, decoded: bool = False, keep: list[str] | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ items count by their ids. Null item ids are left out of the lists of items.
 from __future__ import annotations
 
 import re
+import uuid
 from itertools import repeat
 
 import numpy as np
@@ -21,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.base import append_arrow, quoted, texts
+from corpusloom.llm.base import append_arrow, aside, held, quoted
 
 #: Words of items in one automaton at most: bounds what is broadcast and held by a worker at once.
-SHARD_WORDS = 400_000
+SHARD_WORDS = 150_000
 #: ASCII: letters to lower case, digits as they are, all else to a space; bytes of other letters stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -184,15 +185,8 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join(out).decode("utf-8", "replace")
 
 
-_held: dict[int, SuffixAutomaton] = {}
-
-
-def _automaton(shared, window: int) -> SuffixAutomaton:
-    key = hash((shared.id if hasattr(shared, "id") else id(shared), window))
-    if key not in _held:
-        _held.clear()  # one at a time
-        _held[key] = SuffixAutomaton(shared.value, window)
-    return _held[key]
+def _automaton(name: str, shared, window: int) -> SuffixAutomaton:
+    return held(("automaton", name, window), lambda: SuffixAutomaton(shared.value, window))
 
 
 def item_shards(items: DataFrame, key: str, text: str, most: int = SHARD_WORDS) -> list[list[tuple[str, list[bytes]]]]:
@@ -219,19 +213,23 @@ def contamination(
     With ``clean_from``, also ``cleaned``: the text without merged spans of that many words or more.
     """
     context = df.sparkSession.sparkContext
-    shards = [context.broadcast(x) for x in item_shards(items, item_key, item_text)]
+    shards = [(uuid.uuid4().hex, context.broadcast(x)) for x in item_shards(items, item_key, item_text)]
 
     def make():
         def work(column):
+            many = column.to_pylist()
+            sizes, seen = [0] * len(many), [([], set(), 0)] * len(many)
+            for name, shared in shards:
+                automaton = _automaton(name, shared, window)
+                for k, t in enumerate(many):
+                    words = words_of(t)
+                    sizes[k] = len(words)
+                    spans, found, longest = automaton.match(words)
+                    seen[k] = (seen[k][0] + spans, seen[k][1] | found, max(seen[k][2], longest))
             out = []
-            for t in texts(column):
-                words = words_of(t)
-                spans, found, longest = [], set(), 0
-                for shared in shards:
-                    a, b, c = _automaton(shared, window).match(words)
-                    spans, found, longest = spans + a, found | b, max(longest, c)
+            for t, n, (spans, found, longest) in zip(many, sizes, seen):
                 whole = merged(spans)
-                row = [len(words), sum(b - a for a, b in whole), longest, sorted(x for x in found if x is not None), [x for s in whole for x in s]]
+                row = [n, sum(b - a for a, b in whole), longest, sorted(x for x in found if x is not None), [x for s in whole for x in s]]
                 if clean_from is not None:
                     cuts = [s for s in whole if s[1] - s[0] >= clean_from]
                     row.append(without_spans(t, cuts) if cuts else t)
@@ -256,6 +254,7 @@ def decontaminate(df: DataFrame, items: DataFrame, text: str = "text", window: i
 
     Columns are those of ``df``. Null texts, and texts without a hit, stay as they are.
     """
-    seen = contamination(df, items, text, window=window, clean_from=1, **names)
+    own, back = aside(df, ["n_words", "n_hit", "longest", "item_ids", "spans", "cleaned"])
+    seen = contamination(own, items, text, window=window, clean_from=1, **names)
     stays = (F.col("n_hit") == 0) | (F.col("n_hit") <= max_coverage * F.col("n_words"))
-    return seen.where(stays).select(*[F.col("cleaned").alias(text) if c.lower() == text.lower() else quoted(c) for c in df.columns])
+    return seen.where(stays).select(*[F.col("cleaned").alias(c) if c.lower() == text.lower() else back[c] for c in df.columns])

@@ -16,6 +16,7 @@ letter carry no evidence. An empty training set learns no language: everything i
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.base import append_arrow, quoted, texts
+from corpusloom.llm.base import append_arrow, held, quoted
 
 PER_LANG = 250
 PASSAGE = 1000
@@ -32,9 +33,9 @@ DIMS = 1 << 15
 LEXICON = 400
 UND = "und"
 #: Word types a worker remembers before it starts anew; bounds memory, never results.
-CACHE = 300_000
+CACHE = 150_000
 #: Cells (texts x longest) of one forward-backward batch.
-CELLS = 400_000
+CELLS = 200_000
 
 
 def clean(token: str) -> str:
@@ -296,17 +297,13 @@ class _Types(dict):
 
 def identify(df: DataFrame, crf: Crf, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add ``lang_pred`` (string) and ``score`` (double, 0 to 1) to every row. One Arrow pass, no shuffle; the model's size is fixed."""
-    shared = df.sparkSession.sparkContext.broadcast(crf)
+    shared, name = df.sparkSession.sparkContext.broadcast(crf), uuid.uuid4().hex
 
     def make():
-        tagger = Tagger(shared.value)
+        tagger = held(("langid", name), lambda: Tagger(shared.value))
 
         def work(column):
-            names, scores = [], []
-            for i in range(0, len(column), 1024):
-                a, b = tagger.label(column.slice(i, 1024).to_pylist())
-                names += a
-                scores += b
+            names, scores = tagger.label(column.to_pylist())
             return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
 
         return work
