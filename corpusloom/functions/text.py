@@ -6,7 +6,7 @@ split on it understand it, control separators included.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,6 +30,11 @@ LEADING_JUNK = rf"(?U)^[{_WS}|༉༄༅༆༇࿐࿑\-–—•·:;,.]+"
 TRAILING_JUNK = rf"(?U)[{_WS}|]+$"
 
 
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with ``x`` computed once: inside a lambda it would be computed anew for each element."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
 def strip(c: Column) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(c, rf"(?U)^[{_WS}]+|[{_WS}]+$", "")
@@ -74,10 +79,10 @@ def dz_normalize(c: Column, markers: Sequence[str] | Column = (), shad_after_ga:
     A token that ends in a shad gets a second one, as upstream has it; ``idempotent`` keeps
     such tokens as they are.
     """
-    tokens, known = chunks(c), _markers(markers)
+    known = _markers(markers)
 
-    def restore(tok: Column, i: Column) -> Column:
-        gap = F.when(i < F.size(tokens) - 1, " ").otherwise("")
+    def restore(tok: Column, i: Column, n: Column) -> Column:
+        gap = F.when(i < n - 1, " ").otherwise("")
         whole = F.when(tok.endswith(NGA), F.concat(tok, F.lit(TSHEG + SHAD)))
         if idempotent:
             whole = F.when(tok.endswith(SHAD), tok).when(tok.endswith(NGA), F.concat(tok, F.lit(TSHEG + SHAD)))
@@ -87,20 +92,25 @@ def dz_normalize(c: Column, markers: Sequence[str] | Column = (), shad_after_ga:
         phrase = F.when(F.array_contains(known, tail_syllable(tok)), gap).otherwise("")
         return F.when(tok.endswith(TSHEG), F.concat(tok, phrase)).otherwise(F.concat(whole, gap))
 
-    body = F.array_join(F.transform(tokens, restore), "")
-    bare = F.regexp_replace(body, f"{TSHEG}$", "")
-    ended = F.when(body.endswith(SHAD), body).when(bare.endswith(NGA), F.concat(bare, F.lit(TSHEG + SHAD))).otherwise(F.concat(bare, F.lit(SHAD)))
-    return F.when(c.isNull(), F.lit(None)).when(F.size(tokens) == 0, "").otherwise(squeeze(ended))
+    def end(body: Column) -> Column:
+        bare = F.regexp_replace(body, f"{TSHEG}$", "")
+        return F.when(body.endswith(SHAD), body).when(bare.endswith(NGA), F.concat(bare, F.lit(TSHEG + SHAD))).otherwise(F.concat(bare, F.lit(SHAD)))
+
+    def whole(tokens: Column) -> Column:
+        body = let(F.size(tokens), lambda n: F.array_join(F.transform(tokens, lambda t, i: restore(t, i, n)), ""))
+        return F.when(F.size(tokens) == 0, "").otherwise(squeeze(let(body, end)))
+
+    return F.when(c.isNotNull(), let(chunks(c), whole))
 
 
 def respace(c: Column, markers: Sequence[str] | Column) -> Column:
     """Spaces kept only after a chunk whose tail, shads aside, is a marker."""
-    parts, known = space_chunks(c), _markers(markers)
+    known = _markers(markers)
 
-    def keep(x: Column, i: Column) -> Column:
-        return F.when((i < F.size(parts) - 1) & F.array_contains(known, tail_syllable(rstrip_shad(x))), F.concat(x, F.lit(" "))).otherwise(x)
+    def keep(x: Column, i: Column, n: Column) -> Column:
+        return F.when((i < n - 1) & F.array_contains(known, tail_syllable(rstrip_shad(x))), F.concat(x, F.lit(" "))).otherwise(x)
 
-    return F.array_join(F.transform(parts, keep), "")
+    return let(space_chunks(c), lambda parts: let(F.size(parts), lambda n: F.array_join(F.transform(parts, lambda x, i: keep(x, i, n)), "")))
 
 
 def en_normalize(c: Column, is_question: Column | None = None) -> Column:
@@ -157,12 +167,13 @@ def digit_conflict(dz: Column, en: Column) -> Column:
 
 def has_repetition(c: Column, n: int = 4, limit: int = 3) -> Column:
     """Whether some n-gram of words occurs more than ``limit`` times."""
-    words = chunks(c)
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-    # Sorted, a gram that occurs often enough stands again ``limit`` places on.
-    ranked = F.array_sort(grams)
-    again = F.exists(F.sequence(F.lit(1), F.size(ranked) - limit), lambda i: F.element_at(ranked, i) == F.element_at(ranked, i + limit))
-    return F.when(F.size(words) < 2 * n, False).when(F.size(words) - n + 1 <= limit, False).otherwise(again)
+
+    def often(words: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
+        # Sorted, a gram that occurs often enough stands again ``limit`` places on.
+        return let(F.array_sort(grams), lambda r: F.exists(F.sequence(F.lit(1), F.size(r) - limit), lambda i: F.element_at(r, i) == F.element_at(r, i + limit)))
+
+    return let(chunks(c), lambda words: F.when((F.size(words) < 2 * n) | (F.size(words) - n + 1 <= limit), False).otherwise(often(words)))
 
 
 def count_of(c: Column, piece: str) -> Column:

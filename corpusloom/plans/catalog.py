@@ -1,10 +1,333 @@
-"""The registered queries of the corpus engine and the SQL that states the same results."""
+"""The registered queries of the corpus engine and the SQL that states the same results.
+
+The driver tables stand in for corpora: documents for crawl text, benchmark for evaluation
+text, labels for the score of a document, pages for addresses, and the turns of
+conversations (user, then assistant) for aligned pairs.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as X
+from corpusloom.operators import augment, boundary, dedup, filters, metrics, mining, order, synth
+from corpusloom.sources import readers
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+END = r"[.!?\n]+"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _sentences(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
+    docs = _table(spark, d, "documents").where(where).select("doc_id", "lang", "text")
+    return filters.sentences(docs, "text", END, "")
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    turns = _table(spark, d, "conversations")
+    user = turns.where("role = 'user'").select("conv_id", F.col("turn"), F.col("text").alias("dz"))
+    reply = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("en"))
+    out = user.join(reply, ["conv_id", "turn"])
+    return out.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "dz", "en")
+
+
+def _corpus(spark: SparkSession, d: str) -> DataFrame:
+    """English sentences as both sides of a corpus: the words of one stand for the chunks of the other."""
+    own = _sentences(spark, d, "lang = 'en'").where("length(sentence) <= 200")
+    return own.select((F.col("doc_id") * 100000 + F.col("pos")).alias("row_id"), F.col("sentence").alias("dz"), F.col("sentence").alias("en"))
+
+
+TERMS = [("short", "the"), ("short", "of"), ("short", "thing"), ("long", "ention"), ("long", "edble"), ("long", "nosuchterm")]
+
+
+def _terms(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(TERMS, "category string, term string")
+
+
+_CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(s, '|', ' '), '^[\s\-–—•·:;,.]+', ''), '[\s]+$', ''), '\s+', ' ', 'g'))"
+SQL_SENT = rf"""
+raw AS (SELECT doc_id, lang, parts[i] AS s, i - 1 AS pos FROM (SELECT doc_id, lang, parts, unnest(range(1, len(parts) + 1)) AS i
+        FROM (SELECT doc_id, lang, regexp_split_to_array(text, '[.!?\n]+') AS parts FROM documents))),
+sent AS (SELECT doc_id, lang, pos, {_CLEAN} AS sentence FROM raw WHERE {_CLEAN} <> '')"""
+SQL_POOL = rf"""
+pool AS (SELECT DISTINCT {_CLEAN} AS sentence FROM (SELECT unnest(regexp_split_to_array(text, '[.!?\n]+')) AS s FROM benchmark) WHERE {_CLEAN} <> '')"""
+SQL_PAIRS = """
+pairs AS (SELECT u.conv_id * 1000 + u.turn AS row_id, u.text AS dz, a.text AS en FROM conversations u JOIN conversations a
+          ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"""
+SQL_CORPUS = f"""{SQL_SENT},
+corpus AS (SELECT doc_id * 100000 + pos AS row_id, sentence AS en FROM sent WHERE lang = 'en' AND length(sentence) <= 200)"""
+SQL_TERMS = "terms(category, term) AS (VALUES " + ", ".join(f"('{c}', '{t}')" for c, t in TERMS) + ")"
+SQL_HITS = f"""{SQL_CORPUS}, {SQL_TERMS},
+lw AS (SELECT row_id, en, regexp_extract_all(lower(en), '[\\p{{L}}\\p{{N}}_]+') AS w FROM corpus),
+hits AS (SELECT category, term, row_id, en FROM lw JOIN terms ON list_contains(w, term) OR list_contains(w, term || 's'))"""
+SQL_SCORED = f"""{SQL_HITS},
+n AS (SELECT category, term, count(*) AS hits FROM hits GROUP BY ALL),
+loc AS (SELECT category, term, chunk, count(*) AS c FROM (SELECT category, term, unnest(list_distinct(list_filter(string_split(en, ' '), lambda x: x <> ''))) AS chunk FROM hits) GROUP BY ALL),
+df AS (SELECT chunk, count(*) AS df FROM (SELECT unnest(list_distinct(list_filter(string_split(en, ' '), lambda x: x <> ''))) AS chunk FROM corpus) GROUP BY chunk),
+scored AS (SELECT category, term, chunk, c, hits, c / hits AS coverage, (c / hits) / greatest(df / (SELECT count(*) FROM corpus), 1e-9) AS lift
+           FROM loc JOIN n USING (category, term) JOIN df USING (chunk))"""
+
+
+@query(f"""WITH {SQL_SENT}, {SQL_POOL},
+kept AS (SELECT lang, sentence FROM sent WHERE length(sentence) <= 400 AND length(sentence) - length(replace(sentence, ' ', '')) BETWEEN 3 AND 69
+         AND sentence NOT IN (SELECT sentence FROM pool))
+SELECT lang, count(*) AS n_rows, count(DISTINCT sentence) AS n_distinct, sum(length(sentence))::BIGINT AS n_chars FROM kept GROUP BY lang""")
+def corpus_build(spark: SparkSession, d: str) -> DataFrame:
+    """Flagship: sentences within bounds, without benchmark sentences, counted with and without repeats."""
+    pool = filters.sentences(_table(spark, d, "benchmark").select("text"), "text", END, "").select(F.col("sentence").alias("text")).distinct()
+    own = filters.within_bounds(_sentences(spark, d), least=3, most=69, unit=" ")
+    kept = dedup.not_leaked(own, pool, ("sentence",))
+    each = kept.groupBy("lang", "sentence").agg(F.count("*").alias("n"))
+    return each.groupBy("lang").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_distinct"), F.sum(F.length("sentence") * F.col("n")).alias("n_chars"))
+
+
+@query(f"WITH {SQL_SENT} SELECT sentence, min(doc_id * 100000 + pos) AS row_id FROM sent GROUP BY sentence")
+def first_occurrences(spark: SparkSession, d: str) -> DataFrame:
+    own = _sentences(spark, d).select("sentence", (F.col("doc_id") * 100000 + F.col("pos")).alias("row_id"))
+    return order.first_of(own, ["sentence"], "row_id")
+
+
+@query(f"""WITH {SQL_SENT}, {SQL_POOL}, c AS (SELECT sentence, count(*) AS n, sentence IN (SELECT sentence FROM pool) AS leak FROM sent GROUP BY sentence)
+SELECT sum(n)::BIGINT AS rows, 0::BIGINT AS blank, sum(CASE WHEN leak THEN n ELSE 0 END)::BIGINT AS leaked,
+       sum(CASE WHEN leak THEN 0 ELSE n - 1 END)::BIGINT AS dup, sum(CASE WHEN leak THEN 0 ELSE 1 END)::BIGINT AS kept FROM c""")
+def train_report(spark: SparkSession, d: str) -> DataFrame:
+    pool = filters.sentences(_table(spark, d, "benchmark").select("text"), "text", END, "").select(F.col("sentence").alias("text")).distinct()
+    own = _sentences(spark, d).select(F.col("sentence").alias("dz"), F.col("sentence").alias("en"))
+    return dedup.train_report(own, pool)
+
+
+@query("""SELECT CASE WHEN source IN ('src3', 'src7') THEN 'blocked' WHEN coalesce(quality, 0) < 0.85 THEN 'score'
+WHEN coalesce(length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) / nullif(length(regexp_replace(text, '\\s', '', 'g')), 0), 0) < 0.8 THEN 'script' ELSE 'kept' END AS reject_reason, count(*) AS n
+FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""")
+def reject_waterfall(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents").join(_table(spark, d, "labels"), "doc_id", "left")
+    rules = [("blocked", F.col("source").isin("src3", "src7")), ("score", F.coalesce("quality", F.lit(0)) < 0.85), ("script", X.script_ratio(F.col("text"), "a-zA-Z") < 0.8)]
+    return filters.reject_counts(filters.waterfall(docs, rules))
+
+
+@query("""SELECT CASE WHEN position('://' IN url) > 0 THEN lower(coalesce(string_split(url, '/')[3], '')) ELSE '' END AS host, count(*) AS n FROM pages GROUP BY 1""")
+def hosts(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "pages").groupBy(F.coalesce(X.host_of(F.col("url")), F.lit("")).alias("host")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {SQL_PAIRS} SELECT row_id, dz AS src, en AS tgt, 'dzo_Tibt' AS src_lang, 'eng_Latn' AS tgt_lang FROM pairs
+UNION ALL SELECT row_id, en, dz, 'eng_Latn', 'dzo_Tibt' FROM pairs""")
+def directional_rows(spark: SparkSession, d: str) -> DataFrame:
+    return filters.flatten_directions(filters.strip_pairs(_pairs(spark, d)))
+
+
+@query(f"""WITH {SQL_PAIRS} SELECT left(a, 3) || '2' || left(b, 3) AS direction, count(*) AS n FROM
+(SELECT 'dzo_Tibt' AS a, 'eng_Latn' AS b FROM pairs UNION ALL SELECT 'eng_Latn', 'dzo_Tibt' FROM pairs) GROUP BY 1""")
+def direction_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = filters.flatten_directions(_pairs(spark, d))
+    return rows.groupBy(X.direction_key(F.col("src_lang"), F.col("tgt_lang")).alias("direction")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[0-9]+'))), ',') AS numbers FROM documents WHERE regexp_matches(text, '[0-9]')""")
+def numbers(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents").where(F.col("text").rlike("[0-9]"))
+    return docs.select("doc_id", F.array_join(X.digits_in(F.col("text")), ",").alias("numbers"))
+
+
+@query("""WITH x AS (SELECT a.doc_id, list_sort(list_distinct(regexp_extract_all(a.text, '[0-9]+'))) AS p, list_sort(list_distinct(regexp_extract_all(coalesce(b.text, ''), '[0-9]+'))) AS q
+FROM documents a LEFT JOIN documents b ON b.doc_id = a.doc_id + 1)
+SELECT count(*) AS n, count(*) FILTER (len(q) > 0 AND p <> q) AS conflicts FROM x""")
+def digit_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents").select("doc_id", "text")
+    both = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other")), "doc_id", "left")
+    return both.agg(F.count("*").alias("n"), F.count_if(X.digit_conflict(F.col("text"), F.coalesce("other", F.lit("")))).alias("conflicts"))
+
+
+SQL_TAILS = f"""{SQL_SENT}, t AS (SELECT list_filter(string_split(sentence, ' '), lambda x: x <> '') AS w FROM sent),
+e AS (SELECT right(w[i], 2) AS tail, i, len(w) AS n FROM (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM t))"""
+
+
+def _two(line):
+    return F.transform(X.space_chunks(line), lambda c: F.right(c, F.lit(2)))
+
+
+@query(f"WITH {SQL_TAILS} SELECT tail, count(*) AS total, count(*) FILTER (i < n) AS before FROM e GROUP BY tail HAVING count(*) >= 200 AND count(*) FILTER (i < n) / count(*) >= 0.9")
+def learned_markers(spark: SparkSession, d: str) -> DataFrame:
+    return boundary.learn_markers(_sentences(spark, d), "sentence", tail=_two)
+
+
+@query(f"""WITH {SQL_TAILS}, m AS (SELECT tail FROM e GROUP BY tail HAVING count(*) >= 200 AND count(*) FILTER (i < n) / count(*) >= 0.9),
+g AS (SELECT row_number() OVER () AS line, w FROM t WHERE len(w) >= 2),
+h AS (SELECT line, count(*) AS n, count(m.tail) AS tp FROM (SELECT line, right(w[i], 2) AS tail FROM (SELECT line, w, unnest(range(1, len(w))) AS i FROM g)) x LEFT JOIN m USING (tail) GROUP BY line)
+SELECT count(*) AS lines, sum(n)::BIGINT AS boundaries, sum(tp)::BIGINT AS recovered, sum(n - tp)::BIGINT AS missed, count(*) FILTER (n = tp) AS exact, sum(tp) / sum(n) AS recall FROM h""")
+def marker_recall(spark: SparkSession, d: str) -> DataFrame:
+    own = _sentences(spark, d)
+    return boundary.boundary_recall(own, boundary.learn_markers(own, "sentence", tail=_two), "sentence", tail=_two)
+
+
+@query(f"WITH {SQL_CORPUS} SELECT chunk, count(*) AS df FROM (SELECT unnest(list_distinct(list_filter(string_split(en, ' '), lambda x: x <> ''))) AS chunk FROM corpus) GROUP BY chunk")
+def chunk_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return mining.chunk_frequency(_corpus(spark, d))
+
+
+@query(f"WITH {SQL_HITS} SELECT category, term, count(*) AS hits FROM hits GROUP BY ALL")
+def term_hit_counts(spark: SparkSession, d: str) -> DataFrame:
+    return mining.term_hits(_corpus(spark, d), _terms(spark)).groupBy("category", "term").agg(F.count("*").alias("hits"))
+
+
+@query(f"""WITH {SQL_SCORED} SELECT category, term, chunk, c, hits, coverage, lift, rank FROM (SELECT *, row_number() OVER (PARTITION BY category, term ORDER BY lift DESC, coverage DESC, chunk DESC)::INT AS rank
+FROM scored WHERE hits >= 5 AND c >= greatest(3, 0.15 * hits)) WHERE rank <= 4""")
+def term_candidates(spark: SparkSession, d: str) -> DataFrame:
+    scored = mining.associations(_corpus(spark, d), _terms(spark))
+    return mining.ranked(mining.discover_floor(scored), 4)
+
+
+@query(f"""WITH {SQL_SCORED}, best AS (SELECT category, term, max_by(coverage, struct_pack(l := lift, c := coverage, k := chunk)) AS cov FROM scored WHERE coverage >= 0.15 GROUP BY ALL),
+band AS (SELECT t.category, CASE WHEN coalesce(n.hits, 0) < 4 OR cov IS NULL THEN 'missing' WHEN cov >= 0.8 THEN 'high' WHEN cov >= 0.5 THEN 'medium' ELSE 'low' END AS b
+FROM terms t LEFT JOIN n USING (category, term) LEFT JOIN best USING (category, term))
+SELECT category, count(*) FILTER (b = 'high') AS high, count(*) FILTER (b = 'medium') AS medium, count(*) FILTER (b = 'low') AS low, count(*) FILTER (b = 'missing') AS missing FROM band GROUP BY category""")
+def term_bands(spark: SparkSession, d: str) -> DataFrame:
+    return mining.band_summary(mining.term_table(_corpus(spark, d), _terms(spark)))
+
+
+def _full_terms(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(c, t, "The", [t]) for c, t in TERMS], "category string, term string, dz string, variants array<string>")
+
+
+@query(f"""WITH {SQL_HITS}, carried AS (SELECT category, term FROM hits WHERE position('The' IN en) > 0 OR position(term IN en) > 0)
+SELECT t.category, t.term, count(c.term) AS carriers FROM terms t LEFT JOIN carried c USING (category, term) GROUP BY ALL""")
+def carrier_counts(spark: SparkSession, d: str) -> DataFrame:
+    terms = _full_terms(spark)
+    return augment.carrier_counts(terms, augment.carriers(_corpus(spark, d), terms))
+
+
+@query(f"""WITH {SQL_HITS}, carried AS (SELECT category, term, CASE WHEN position('The' IN en) > 0 THEN 'kept' ELSE 'corrected' END AS origin FROM hits WHERE position('The' IN en) > 0 OR position(term IN en) > 0)
+SELECT origin, count(*) AS n FROM carried GROUP BY origin UNION ALL SELECT 'bare', 12 * count(DISTINCT term) FROM carried""")
+def augmentation_counts(spark: SparkSession, d: str) -> DataFrame:
+    made = augment.augment(_corpus(spark, d), _full_terms(spark), max_carriers=1 << 30)
+    return made.groupBy("origin").agg(F.count("*").alias("n"))
+
+
+@query()
+def augmented_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Sampled carriers and their loans: the draw is a hash that SQL engines do not share."""
+    phrases = spark.createDataFrame([("ཤིང་", "tree")], "dz string, en string")
+    made = augment.augment(_corpus(spark, d), _full_terms(spark).withColumn("dz", F.concat(F.lit("ཀ་"), "term")), phrases, cross_per_term=5)
+    return augment.normalize_augmented(made)
+
+
+@query("""SELECT conf, count(*) AS n FROM (SELECT CASE WHEN quality = 1 THEN 'high' WHEN toxic = 1 THEN 'MISSING' ELSE 'low' END AS conf FROM labels) WHERE conf <> 'low' GROUP BY conf""")
+def confidence_gate(spark: SparkSession, d: str) -> DataFrame:
+    conf = F.when(F.col("quality") == 1, "high").when(F.col("toxic") == 1, "MISSING").otherwise("low")
+    return filters.confidence_gate(_table(spark, d, "labels").select(conf.alias("conf")), "medium", "conf").groupBy("conf").agg(F.count("*").alias("n"))
+
+
+SQL_SYNTH = f"""{SQL_PAIRS}, w AS (SELECT row_id, dz, en, list_filter(regexp_split_to_array(dz, '\\s+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(en, '\\s+'), lambda x: x <> '') AS b FROM pairs),
+g AS (SELECT row_id, max(k) AS k FROM (SELECT row_id, g, count(*) AS k FROM (SELECT row_id, array_to_string(b[i:i + 3], ' ') AS g FROM (SELECT row_id, b, unnest(range(1, greatest(len(b) - 3, 0) + 1)) AS i FROM w)) GROUP BY ALL) GROUP BY row_id)"""
+
+
+@query(f"""WITH {SQL_SYNTH} SELECT CASE WHEN trim(en) = '' THEN 'empty' WHEN len(b) / greatest(len(a), 1) NOT BETWEEN 0.25 AND 3.0 THEN 'ratio' WHEN len(b) >= 8 AND coalesce(k, 0) > 3 THEN 'repetition' ELSE 'kept' END AS reject_reason, count(*) AS n
+FROM w LEFT JOIN g USING (row_id) GROUP BY 1""")
+def synthetic_rejects(spark: SparkSession, d: str) -> DataFrame:
+    return filters.reject_counts(synth.filter_synthetic(_pairs(spark, d), digits=False))
+
+
+@query()
+def synthetic_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Tagged rows of a stub translator, with digit variants."""
+    docs = _table(spark, d, "documents").where("length(text) < 2000").select(F.col("doc_id").alias("row_id"), F.col("text").alias("dz"))
+    made = synth.translate(docs, "dz", "en", lambda: lambda texts: [" ".join(t.lower().split()) for t in texts])
+    return synth.synthetic_rows(made)
+
+
+@query("""SELECT doc_id, max(k) > 3 AS repeats FROM (SELECT doc_id, g, count(*) AS k FROM (SELECT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM
+(SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents) WHERE len(w) >= 8)) GROUP BY ALL) GROUP BY doc_id""")
+def repetition(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents").where(F.size(X.chunks(F.col("text"))) >= 8)
+    return docs.select("doc_id", X.has_repetition(F.col("text")).alias("repeats"))
+
+
+@query("""WITH x AS (SELECT lang, n_chars AS v, row_number() OVER (PARTITION BY lang ORDER BY n_chars) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents)
+SELECT lang, max(n) AS n, max(v) FILTER (i = n // 2) AS median, max(v) FILTER (i = CAST(floor(n * 0.95) AS BIGINT)) AS p95 FROM x GROUP BY lang""")
+def length_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return order.index_percentiles(_table(spark, d, "documents"), "n_chars", {"median": 0.5, "p95": 0.95}, ["lang"])
+
+
+@query("SELECT lang, avg(CASE WHEN regexp_matches(text, '[0-9]') THEN 1.0 ELSE 0.0 END) AS share FROM documents GROUP BY lang")
+def numeral_share(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "documents").groupBy("lang").agg(F.avg(F.col("text").rlike("[༠-༩0-9]").cast("int")).alias("share"))
+
+
+@query("""WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_id FROM documents)
+SELECT CASE WHEN row_id < (SELECT count(*) FROM p) * 7 // 10 THEN 'train' ELSE 'held' END AS split, count(*) AS n, min(row_id) AS lo, max(row_id) AS hi FROM p GROUP BY 1""")
+def range_splits(spark: SparkSession, d: str) -> DataFrame:
+    docs = order.positions(_table(spark, d, "documents").select("doc_id"), "doc_id")
+    n = docs.count()
+    parts = readers.range_splits(docs, {"train": n * 7 // 10, "held": n - n * 7 // 10}, expect=False)
+    return parts.groupBy("split").agg(F.count("*").alias("n"), F.min("row_id").alias("lo"), F.max("row_id").alias("hi"))
+
+
+@query("SELECT a.item_id AS id, a.text AS dz, b.text AS en FROM benchmark a JOIN (SELECT item_id, max(text) AS text FROM benchmark GROUP BY item_id) b USING (item_id)")
+def benchmark_pairs(spark: SparkSession, d: str) -> DataFrame:
+    own = _table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return readers.join_languages(own, own)
+
+
+@query()
+def normalized_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Both normalisers over derived text: words as syllables on one side, as they are on the other."""
+    pairs = _pairs(spark, d).withColumn("dz", F.replace("dz", F.lit(" "), F.lit(X.TSHEG + " ")))
+    return filters.normalize_pairs(pairs, ["the", "of", "de"])
+
+
+SQL_CHRF = f"""{SQL_PAIRS}, c AS (SELECT row_id, regexp_replace(dz, '\\s', '', 'g') AS h, regexp_replace(en, '\\s', '', 'g') AS r FROM pairs),
+e AS (SELECT row_id, n, 0 AS side, substring(h, i, n) AS g FROM (SELECT row_id, h, n, unnest(range(1, length(h) - n + 2)) AS i FROM c, range(1, 7) t(n))
+      UNION ALL SELECT row_id, n, 1, substring(r, i, n) FROM (SELECT row_id, r, n, unnest(range(1, length(r) - n + 2)) AS i FROM c, range(1, 7) t(n))),
+k AS (SELECT row_id, n, g, count(*) FILTER (side = 0) AS h, count(*) FILTER (side = 1) AS r FROM e GROUP BY ALL),
+s AS (SELECT n, sum(least(h, r)) AS m, sum(h) AS h, sum(r) AS r FROM k GROUP BY n), pr AS (SELECT avg(m / h) AS p, avg(m / r) AS q FROM s)"""
+
+
+@query(f"WITH {SQL_CHRF} SELECT 'dzo2eng' AS direction, 100 * 5 * p * q / (4 * p + q) AS chrf, (SELECT count(*) FROM pairs) AS n FROM pr")
+def chrf_score(spark: SparkSession, d: str) -> DataFrame:
+    own = _pairs(spark, d).select(F.lit("dzo2eng").alias("direction"), F.col("row_id").alias("sent_id"), F.col("dz").alias("hyp"), F.col("en").alias("ref"))
+    return metrics.chrf(own, words=0)
+
+
+@query()
+def bleu_and_chrf(spark: SparkSession, d: str) -> DataFrame:
+    """BLEU and chrF++ of user turns against replies, and of replies against themselves."""
+    own = _pairs(spark, d)
+    one = own.select(F.lit("dzo2eng").alias("direction"), F.col("row_id").alias("sent_id"), F.col("dz").alias("hyp"), F.col("en").alias("ref"))
+    both = one.union(own.select(F.lit("eng2eng"), "row_id", "en", "en"))
+    return metrics.bleu(both).join(metrics.chrf(both).drop("n"), "direction")
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 5")
+def richest_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Top five, as a report asks for."""
+    return _table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(5)
+
+
+@query()
+def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Up to 40 documents of each language by hash: a sampling operator."""
+    return order.sample_per_key(_table(spark, d, "documents").select("doc_id", "lang"), ["lang"], 40, 42, "doc_id")
+
+
+@query("SELECT lang, source, count(*) AS n FROM (SELECT lang, source FROM documents UNION ALL SELECT lang, source FROM documents) GROUP BY ALL")
+def union_counts(spark: SparkSession, d: str) -> DataFrame:
+    own = _table(spark, d, "documents").select("lang", "source")
+    return own.unionByName(own).groupBy("lang", "source").agg(F.count("*").alias("n"))
