@@ -21,7 +21,7 @@ def eval_pool(*evals: DataFrame, columns: tuple[str, ...] = ("dz", "en")) -> Dat
 def not_leaked(df: DataFrame, pool: DataFrame, columns: tuple[str, ...] = ("dz", "en")) -> DataFrame:
     """Rows none of whose ``columns`` is in the pool. Spark broadcasts the pool where its measured size allows, else sorts."""
     for c in columns:
-        df = df.join(pool.withColumnRenamed("text", c), c, "left_anti")
+        df = df.join(pool.withColumnRenamed("text", c), c, "left_anti").select(*df.columns)
     return df
 
 

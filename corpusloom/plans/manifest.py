@@ -28,7 +28,7 @@ def manifest(df: DataFrame, args: dict, split: str = "split") -> dict:
     keys = ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")
     return {
         "created_utc": datetime.now(timezone.utc).isoformat(timespec="seconds"), "args": args, "rows": counts, "schema": json.loads(df.schema.json()),
-        "spark": {"version": spark.version, **{k: spark.conf.get(k, "") for k in keys}}, "code": code_digests(),
+        "spark": {"version": spark.version, **{k: spark.conf.get(k) for k in keys}}, "code": code_digests(),
     }
 
 
