@@ -33,8 +33,10 @@ EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[
 IP = rf"(?<![0-9A-Za-z.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9A-Za-z]|\.[0-9])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
 DATE = r"(?<![0-9A-Za-z./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|(?:[0-9]{2}\.[0-9]{2}\.|[0-9]{2}/[0-9]{2}/)(?:19|20)[0-9]{2})(?![0-9A-Za-z]|[./-][0-9])"
-CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}+(?![0-9A-Za-z])"
-PHONE = r"(?<![0-9A-Za-z+])\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}+(?![0-9A-Za-z])"
+#: A value ends before a number that follows it: an unbroken run of digits is tried before groups, +1 in its own shape before others.
+_END = r"(?![0-9A-Za-z]|\.[0-9])"
+CARD = rf"(?<![0-9A-Za-z])(?:[0-9]{{13,19}}{_END}|[0-9](?:[ -]?[0-9]){{12,18}}{_END})"
+PHONE = rf"(?<![0-9A-Za-z+])\+(?:1[ .-]?(?:\([2-9][0-9]{{2}}\)|[2-9][0-9]{{2}})[ .-]?[2-9][0-9]{{2}}[ .-]?[0-9]{{4}}{_END}|[1-9][0-9]{{0,2}}[ .-]?(?:\([0-9]{{2,4}}\)|[0-9]{{2,4}})(?:[ .-]?[0-9]{{2,4}}){{2,4}}{_END})"
 ANY = "|".join((EMAIL, PHONE, IP, SSN, DATE, CARD))
 DAYS = 73_049  # 1900-01-01 to 2099-12-31
 _DATE_SIDES = (271, 270)  # their product is the least of its kind over DAYS

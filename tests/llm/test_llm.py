@@ -73,6 +73,17 @@ def test_pii_keeps_formats_links_and_validity(spark):
     assert card == "".join(re.search(r"\d{4}-\d{4}-\d{4}-\d{4}", one)[0].split("-"))
 
 
+def test_pii_ends_a_value_before_the_number_after_it(spark):
+    card, phone, ip = "4130383451285691", "+1 (521) 555-6210", "33.1.171.25"
+    alone = [card, phone, ip, "+44 20 7946 0958", "4130 3834 5128 5691"]
+    pairs = [(a, b) for a in alone for b in (card, ip) if a != b]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*alone, *(f"{a} {b}" for a, b in pairs)])], "i int, text string")
+    got = [r.text for r in pii.pseudonymize(rows, "k", counts=False).orderBy("i").collect()]
+    new = dict(zip(alone, got))
+    apart = [(p, t) for p, t in zip(pairs, got[len(alone) :]) if p != ("4130 3834 5128 5691", card)]  # there the digits tell no border
+    assert all(t == f"{new[a]} {new[b]}" for (a, b), t in apart) and all(a != b for a, b in new.items())
+
+
 def test_feistel_is_a_permutation(spark):
     got = spark.range(999).select(pii.feistel(F.col("id"), 37, 27, "k", F.lit("t")).alias("y")).collect()
     assert sorted(r.y for r in got) == list(range(999))
