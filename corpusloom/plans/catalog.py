@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators import augment, boundary, dedup, filters, metrics, mining, order, synth
+from corpusloom.plans import flows
 from corpusloom.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -331,3 +332,79 @@ def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
 def union_counts(spark: SparkSession, d: str) -> DataFrame:
     own = _table(spark, d, "documents").select("lang", "source")
     return own.unionByName(own).groupBy("lang", "source").agg(F.count("*").alias("n"))
+
+
+LINTED = [
+    ("food", "apple", "ཀུ་ཤུ་"), ("food", "Apple", "ཀུ་ཤུ"), ("food", "red rice", "འབྲས་དམར་"), ("food", "rice", "འབྲས་དམར་"), ("tree", "pine", "pine་"), ("tree", "oak", ""), ("tree", "fir", "123"), ("tree", "apple", "ཤིང་"),
+]
+
+
+@query(f"""WITH t(ord, category, en, dz) AS (VALUES {", ".join(f"({i}, '{c}', '{e}', '{z}')" for i, (c, e, z) in enumerate(LINTED))}),
+s AS (SELECT *, CASE WHEN dz = '' THEN 'skip' WHEN regexp_matches(dz, '[A-Za-z]') OR NOT regexp_matches(dz, '[\\x{{0F00}}-\\x{{0FFF}}]') THEN 'error' END AS stop FROM t),
+r AS (SELECT *, row_number() OVER (PARTITION BY category, lower(en), stop IS NULL ORDER BY ord) AS nth, first_value(en) OVER (PARTITION BY dz, stop IS NULL ORDER BY ord) AS f FROM s)
+SELECT kind, count(*) AS n FROM (SELECT unnest(CASE WHEN stop IS NOT NULL THEN [stop] ELSE list_filter([CASE WHEN right(dz, 1) <> '་' THEN 'warn' END, CASE WHEN contains(en, ' ') THEN 'warn' END,
+CASE WHEN nth > 1 THEN 'warn' END, CASE WHEN f <> en THEN 'warn' END], lambda x: x IS NOT NULL) END) AS kind FROM r) GROUP BY kind""")
+def lint_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """The linter's problems of a small term table, by kind."""
+    terms = spark.createDataFrame([(i, *row) for i, row in enumerate(LINTED)], "ord int, category string, en string, dz string")
+    return augment.lint_summary(augment.lint(terms))
+
+
+_STRIP = r"regexp_replace({}, '^[\s]+|[\s]+$', '', 'g')"
+
+
+@query(f"""WITH {SQL_PAIRS}, b AS (SELECT {_STRIP.format("text")} AS dz FROM benchmark WHERE {_STRIP.format("text")} <> ''),
+p AS (SELECT DISTINCT {_STRIP.format("dz")} AS dz, {_STRIP.format("en")} AS en FROM pairs),
+t AS (SELECT dz, en FROM p WHERE dz <> '' AND en <> '' AND dz NOT IN (SELECT dz FROM b) AND en NOT IN (SELECT dz FROM b)),
+a AS (SELECT 'train' AS split, dz, en FROM t UNION ALL SELECT 'test', dz, dz FROM b)
+SELECT dz AS src, en AS tgt, 'dzo_Tibt' AS src_lang, 'eng_Latn' AS tgt_lang, split FROM a UNION ALL SELECT en, dz, 'eng_Latn', 'dzo_Tibt', split FROM a""")
+def prepared_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The whole preparation, unnormalised: train holds every pair twice, and the benchmark, which must go."""
+    items = _table(spark, d, "benchmark").select(F.lit(0).cast("bigint").alias("row_id"), F.col("text").alias("dz"), F.col("text").alias("en"))
+    pairs = _pairs(spark, d)
+    return flows.prepare({"train": pairs.union(pairs).union(items), "test": items}, raw=True)
+
+
+@query(f"""WITH g AS (SELECT [{", ".join(repr(w) for w in X.GAZETTEER)}] AS names),
+s AS (SELECT conv_id, turn, regexp_replace({_STRIP.format("text")}, '\\s{{2,}}', ', ', 'g') AS s FROM conversations WHERE text IS NOT NULL),
+w AS (SELECT conv_id, turn, array_to_string(list_transform(string_split(s, ' '), lambda x: CASE WHEN list_contains(names, x) THEN upper(x[1]) || x[2:] ELSE x END), ' ') AS s FROM s, g),
+c AS (SELECT conv_id, turn, s, array_to_string(list_transform(range(1, len(s) + 1), lambda i: CASE WHEN regexp_matches(s[i], '[a-z]') AND (i = 1 OR (regexp_matches(s[i - 1], '\\s') AND s[i - 2] IN ('.', '!', '?'))) THEN upper(s[i]) ELSE s[i] END), '') AS t FROM w)
+SELECT conv_id, turn, CASE WHEN s = '' THEN '' WHEN right(t, 1) IN ('.', '!', '?') THEN t ELSE t || '.' END AS text FROM c""")
+def english_normalized(spark: SparkSession, d: str) -> DataFrame:
+    turns = _table(spark, d, "conversations").where("text is not null")
+    return turns.select("conv_id", "turn", X.en_normalize(F.col("text")).alias("text"))
+
+
+SWAP = ("the", "owl")
+
+
+@query(rf"""WITH {SQL_CORPUS}, s AS (SELECT row_id, en, regexp_replace(en, '(?i)\b{SWAP[0]}(s?)\b', '{SWAP[1]}\1', 'g') AS t FROM corpus)
+SELECT row_id, regexp_replace(regexp_replace(regexp_replace(t, '\ban ([^aeiouAEIOU\W])', 'a \1', 'g'), '\ba ([aeiouAEIOU])', 'an \1', 'g'), '\ba ([aeiouAEIOU])', 'an \1', 'g') AS en FROM s WHERE t <> en""")
+def noun_swaps(spark: SparkSession, d: str) -> DataFrame:
+    own = _corpus(spark, d).where(F.col("en").rlike(rf"(?iU)\b{SWAP[0]}s?\b"))
+    return own.select("row_id", X.swap_english(F.col("en"), F.lit(SWAP[0]), F.lit(SWAP[1])).alias("en"), F.col("en").alias("was")).where("en <> was").drop("was")
+
+
+@query(f"""WITH {SQL_SENT}, t AS (SELECT doc_id, pos, list_filter(string_split(sentence, ' '), lambda x: x <> '') AS w FROM sent)
+SELECT doc_id, pos::INT AS pos, array_to_string(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i < len(w) AND w[i] IN ('the', 'of', 'de') THEN w[i] || ' ' ELSE w[i] END), '') AS sentence FROM t""")
+def respaced(spark: SparkSession, d: str) -> DataFrame:
+    return _sentences(spark, d).select("doc_id", "pos", X.respace(F.col("sentence"), ["the", "of", "de"]).alias("sentence"))
+
+
+@query(f"WITH {SQL_PAIRS} SELECT '<bt> ' || en AS src, dz AS tgt, 'eng_Latn' AS src_lang, 'dzo_Tibt' AS tgt_lang FROM pairs")
+def tagged_rows(spark: SparkSession, d: str) -> DataFrame:
+    return filters.tag_synthetic(_pairs(spark, d))
+
+
+@query(f"WITH {SQL_PAIRS} SELECT split, count(*) AS n FROM (SELECT 'train' AS split FROM pairs UNION ALL SELECT 'train' FROM pairs UNION ALL SELECT 'test' FROM benchmark) GROUP BY split")
+def extended_train(spark: SparkSession, d: str) -> DataFrame:
+    """Extra rows go to train alone."""
+    pairs, tests = _pairs(spark, d).select("dz", "en"), _table(spark, d, "benchmark").select(F.col("text").alias("dz"), F.col("text").alias("en"))
+    own = pairs.withColumn("split", F.lit("train")).unionByName(tests.withColumn("split", F.lit("test")))
+    return flows.with_extra(own, pairs).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query()
+def seeded_split(spark: SparkSession, d: str) -> DataFrame:
+    """A tenth by hash, in seeded order: draws that SQL engines do not share."""
+    return order.hash_split(_table(spark, d, "documents").select("doc_id", "lang"), 0.1, 42, "doc_id")
