@@ -31,19 +31,23 @@ SEED = 42
 _WEIGHT = 1 << np.arange(64, dtype=np.uint64)
 
 
-def fingerprint_of(text: str | None, words: int = 4) -> int:
-    """The unsigned 64-bit SimHash of a whole text."""
+def shingles_of(text: str | None, words: int) -> list[bytes]:
+    """The word shingles of a whole text, repeats too; one if it has fewer words, none if it has no word."""
     own = (text or "").encode("utf-8").lower().split()  # bytes: only A-Z and ASCII white space
-    if not own:
-        return 0
     line = b" ".join(own)
     if len(own) <= words:
-        shingles = [line]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in own])
-        begins = np.concatenate([[0], ends[:-1]])
-        n = len(own) - words + 1
-        shingles = [line[a:b] for a, b in zip(begins[:n].tolist(), (ends[words - 1 :] - 1).tolist())]
+        return [line] if own else []
+    ends = np.cumsum([len(w) + 1 for w in own])
+    begins = np.concatenate([[0], ends[:-1]])
+    n = len(own) - words + 1
+    return [line[a:b] for a, b in zip(begins[:n].tolist(), (ends[words - 1 :] - 1).tolist())]
+
+
+def fingerprint_of(text: str | None, words: int = 4) -> int:
+    """The unsigned 64-bit SimHash of a whole text."""
+    shingles = shingles_of(text, words)
+    if not shingles:
+        return 0
     ones, digest, step = np.zeros(64, dtype=np.int64), xxhash.xxh64_intdigest, 1 << 15
     for i in range(0, len(shingles), step):
         h = np.array([digest(s, SEED) for s in shingles[i : i + step]], dtype="<u8")

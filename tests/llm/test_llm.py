@@ -299,3 +299,51 @@ def test_pipeline_against_its_parts(spark, docs):
     plain = {r.doc_id for r in queries.op1_pii_feistel(spark, SF).where(" + ".join(f"n_{k}" for k in pii.KINDS) + " = 0").collect()}
     for d in set(got) & clean & plain:
         assert got[d].decoded_sha256 == hashlib.sha256(docs[d].encode()).hexdigest()
+
+
+def brute_shingles(t, n=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def brute_near_dedup(rows):
+    """Of (doc_id, text) rows those that stay: for each component over Jaccard 0.8 its smallest id, with the ids' texts told apart."""
+    keyed = [r for r in dict.fromkeys(rows) if r[0] is not None]
+    sets = [brute_shingles(t) for _, t in keyed]
+    parent = list(range(len(keyed)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    parts = {}
+    for i in range(len(keyed)):
+        parts.setdefault(find(i), []).append(i)
+    least = [min(p, key=lambda i: keyed[i][0]) for p in parts.values()]
+    return Counter([r for r in rows if r[0] is None] + [keyed[i] for i in least])
+
+
+def near_copies(rng):
+    """Originals and copies on either side of the similarity: one to four words changed in each of them."""
+    rows, word = [], lambda: "".join(rng.choices("abcdefghij", k=6))
+    for base in range(12):
+        own = [word() for _ in range(100)]
+        rows.append((100 * base, " ".join(own)))
+        for c in range(1, 9):
+            new = list(own)
+            for at in rng.sample(range(10, 90), (c + 1) // 2):
+                new[at] = word()
+            rows.append((100 * base + c, " ".join(new)))
+    return rows
+
+
+def test_near_dedup_stage_matches_brute_force(spark, docs):
+    rows = near_copies(random.Random(11)) + list(docs.items())[:80] + [(5, "A b"), (6, "a  B"), (None, "x y")] + [(7000, None), (7001, "")]
+    frame = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], DOC)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, frame, SF).collect())
+    assert got == brute_near_dedup(rows) and sum(got.values()) < len(rows) - 50
