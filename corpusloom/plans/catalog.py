@@ -248,9 +248,9 @@ def synthetic_rejects(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def synthetic_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Tagged rows of a stub translator, with digit variants."""
-    docs = _table(spark, d, "documents").where("length(text) < 2000").select(F.col("doc_id").alias("row_id"), F.col("text").alias("dz"))
-    made = synth.translate(docs, "dz", "en", lambda: lambda texts: [" ".join(t.lower().split()) for t in texts])
+    """Tagged rows of a stub translator, with digit variants, over all documents and whole texts."""
+    docs = _table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("dz"))
+    made = synth.translate(docs, "dz", "en", lambda: lambda texts: [" ".join((t or "").lower().split()) for t in texts])
     return synth.synthetic_rows(made)
 
 

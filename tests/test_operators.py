@@ -126,3 +126,34 @@ def test_stream(spark, tmp_path):
 
 def test_every_oracle_has_a_query():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES) and "corpus_build" in catalog.ORACLES
+
+
+@pytest.fixture(scope="module")
+def small_dir(spark, tmp_path_factory):
+    """Documents of several languages: short, null, empty, of one long sentence, and of many words."""
+    d = str(tmp_path_factory.mktemp("small"))
+    long = " ".join(f"word{i} the things" for i in range(300))
+    texts = ["The thing of the owl. An end of it!", None, "", long, "Le thing des THE things\nthe of", "a b " * 8, "one two three", " ".join(f"{chr(97 + i // 26)}{chr(97 + i % 26)} word" for i in range(400)) + " ༡༢"]
+    rows = [(i, t, ("en", "fr", None)[i % 3]) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{d}/documents.parquet")
+    turns = [(1, 0, "user", "I have 10 cats"), (1, 1, "assistant", "you have 12 cats"), (2, 0, "user", "and 3 dogs"), (2, 1, "assistant", "yes 3 dogs"), (3, 0, "user", "x y"), (3, 1, "assistant", "no numbers"), (4, 0, "user", "q"), (4, 1, "assistant", "a b c 7 e f g")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
+    return d
+
+
+def texts_of(spark, d):
+    return {r.doc_id: r for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+
+
+def brute_repeats(text):
+    w = (text or "").split()
+    grams = [tuple(w[i : i + 4]) for i in range(len(w) - 3)]
+    return len(w) >= 8 and any(grams.count(g) > 3 for g in set(grams))
+
+
+def test_synthetic_rows_cover_long_documents(spark, small_dir):
+    got = catalog.QUERIES["synthetic_rows"](spark, small_dir).collect()
+    kept = [r.text for r in texts_of(spark, small_dir).values() if (r.text or "").strip() and not brute_repeats(r.text)]
+    assert any(len(t) >= 2000 for t in kept)
+    assert {(r.src, r.tgt) for r in got} >= {("<bt> " + " ".join(t.lower().split()), t) for t in kept}
+    assert len(got) == len(kept) + 4 and sum(r.tgt.startswith("aa word") for r in got) == 5  # its numbers vary, far into the text
