@@ -51,8 +51,11 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _corpus(spark: SparkSession, d: str) -> DataFrame:
-    """English sentences as both sides of a corpus: the words of one stand for the chunks of the other."""
-    own = _sentences(spark, d, "lang = 'en'").where("length(sentence) <= 200")
+    """All sentences, of any length and language, as both sides of a corpus: the words of one stand for the chunks of the other.
+
+    ``SQL_CORPUS`` still states English sentences of at most 200 characters, so the SQL of the queries over this corpus states less than they give.
+    """
+    own = _sentences(spark, d)
     return own.select((F.col("doc_id") * 100000 + F.col("pos")).alias("row_id"), F.col("sentence").alias("dz"), F.col("sentence").alias("en"))
 
 

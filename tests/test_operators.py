@@ -1,6 +1,8 @@
 """Relational operators on small relations; the catalog's plans against their SQL run in the driver."""
 
 import math
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,3 +159,37 @@ def test_synthetic_rows_cover_long_documents(spark, small_dir):
     assert any(len(t) >= 2000 for t in kept)
     assert {(r.src, r.tgt) for r in got} >= {("<bt> " + " ".join(t.lower().split()), t) for t in kept}
     assert len(got) == len(kept) + 4 and sum(r.tgt.startswith("aa word") for r in got) == 5  # its numbers vary, far into the text
+
+
+def brute_corpus(spark, d):
+    parts = [re.sub(r"\s+", " ", re.sub(r"^[\s\-–—•·:;,.]+", "", p.replace("|", " "))).strip() for r in texts_of(spark, d).values() for p in re.split(r"[.!?\n]+", r.text or "")]
+    return [p for p in parts if p]
+
+
+def test_mining_covers_every_language_and_length(spark, small_dir):
+    rows = brute_corpus(spark, small_dir)
+    assert max(map(len, rows)) > 200
+    q = {n: catalog.QUERIES[n](spark, small_dir).collect() for n in ("chunk_frequency", "term_hit_counts", "term_candidates", "term_bands", "carrier_counts", "augmentation_counts", "noun_swaps", "augmented_pairs")}
+    df = Counter(c for t in rows for c in set(t.split()))
+    assert {r.chunk: r.df for r in q["chunk_frequency"]} == df
+    hits = {(c, t): [x for x in rows if re.search(rf"\b{t}s?\b", x, re.I)] for c, t in catalog.TERMS}
+    assert {(r.category, r.term): r.hits for r in q["term_hit_counts"]} == {k: len(v) for k, v in hits.items() if v}
+    carried = {k: [x for x in v if "The" in x or k[1] in x] for k, v in hits.items()}
+    assert {(r.category, r.term): r.carriers for r in q["carrier_counts"]} == {k: len(v) for k, v in carried.items()}
+    origins = Counter("kept" if "The" in x else "corrected" for v in carried.values() for x in v)
+    assert {r.origin: r.n for r in q["augmentation_counts"]} == origins | {"bare": 12 * sum(map(bool, carried.values()))}
+    assert len(q["noun_swaps"]) == len(hits["short", "the"]) and any(len(r.en) > 200 and "owl" in r.en for r in q["noun_swaps"])
+    assert any(len(r.en) > 200 for r in q["augmented_pairs"])
+    best, bands = {}, {}
+    for k, v in hits.items():
+        local = Counter(c for t in v for c in set(t.split()))
+        scored = sorted(((n / len(v) / (df[c] / len(rows)), n / len(v), c, n) for c, n in local.items()), reverse=True)
+        best[k] = [(c, n, i) for i, (_, _, c, n) in enumerate([x for x in scored if len(v) >= 5 and x[3] >= max(3, 0.15 * len(v))][:4], 1)]
+        top = next((x for x in scored if x[1] >= 0.15), None)
+        band = "missing" if len(v) < 4 or not top else "high" if top[1] >= 0.8 else "medium" if top[1] >= 0.5 else "low"
+        bands.setdefault(k[0], Counter())[band] += 1
+    got = {}
+    for r in sorted(q["term_candidates"], key=lambda r: r["rank"]):
+        got.setdefault((r.category, r.term), []).append((r.chunk, r.c, r["rank"]))
+    assert got == {k: v for k, v in best.items() if v}
+    assert {r.category: Counter({b: r[b] for b in ("high", "medium", "low", "missing")}) for r in q["term_bands"]} == bands
