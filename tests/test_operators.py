@@ -193,3 +193,8 @@ def test_mining_covers_every_language_and_length(spark, small_dir):
         got.setdefault((r.category, r.term), []).append((r.chunk, r.c, r["rank"]))
     assert got == {k: v for k, v in best.items() if v}
     assert {r.category: Counter({b: r[b] for b in ("high", "medium", "low", "missing")}) for r in q["term_bands"]} == bands
+
+
+def test_synthetic_rejects_count_contradicting_numbers(spark, small_dir):
+    got = {r.reject_reason: r.n for r in catalog.QUERIES["synthetic_rejects"](spark, small_dir).collect()}
+    assert got == {"digits": 1, "kept": 2, "ratio": 1}
