@@ -261,8 +261,8 @@ def synthetic_rows(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT doc_id, max(k) > 3 AS repeats FROM (SELECT doc_id, g, count(*) AS k FROM (SELECT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM
 (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents) WHERE len(w) >= 8)) GROUP BY ALL) GROUP BY doc_id""")
 def repetition(spark: SparkSession, d: str) -> DataFrame:
-    docs = _table(spark, d, "documents").where(F.size(X.chunks(F.col("text"))) >= 8)
-    return docs.select("doc_id", X.has_repetition(F.col("text")).alias("repeats"))
+    """Every document, false for short and null texts; the SQL above still leaves those of fewer than eight words out."""
+    return _table(spark, d, "documents").select("doc_id", X.has_repetition(F.coalesce("text", F.lit(""))).alias("repeats"))
 
 
 @query("""WITH x AS (SELECT lang, n_chars AS v, row_number() OVER (PARTITION BY lang ORDER BY n_chars) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents)

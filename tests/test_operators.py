@@ -198,3 +198,8 @@ def test_mining_covers_every_language_and_length(spark, small_dir):
 def test_synthetic_rejects_count_contradicting_numbers(spark, small_dir):
     got = {r.reject_reason: r.n for r in catalog.QUERIES["synthetic_rejects"](spark, small_dir).collect()}
     assert got == {"digits": 1, "kept": 2, "ratio": 1}
+
+
+def test_repetition_returns_every_document(spark, small_dir):
+    got = {r.doc_id: r.repeats for r in catalog.QUERIES["repetition"](spark, small_dir).collect()}
+    assert got == {i: brute_repeats(r.text) for i, r in texts_of(spark, small_dir).items()}
