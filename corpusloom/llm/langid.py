@@ -32,6 +32,8 @@ PASSAGE = 1000
 DIMS = 1 << 15
 LEXICON = 400
 UND = "und"
+#: Letters of a word at most; a longer run, as of text without spaces, is cut into several words.
+LONGEST = 40
 #: Word types a worker remembers before it starts anew; bounds memory, never results.
 CACHE = 150_000
 #: Cells (texts x longest) of one forward-backward batch.
@@ -43,15 +45,29 @@ def clean(token: str) -> str:
     return token.lower() if token.isalpha() else "".join(filter(str.isalpha, token.lower()))
 
 
+def tokens_of(text: str) -> list[str]:
+    """White-space tokens, all letters in order; one of more than ``LONGEST`` letters becomes consecutive words of its letters."""
+    tokens = text.split()
+    if max(map(len, tokens), default=0) <= LONGEST:
+        return tokens
+    out = []
+    for t in tokens:
+        if len(t) <= LONGEST or len(own := clean(t)) <= LONGEST:
+            out.append(t)
+        else:
+            out += [own[i : i + LONGEST] for i in range(0, len(own), LONGEST)]
+    return out
+
+
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of non-empty words, as (feature, word number) pairs.
 
     Character 2- and 3-grams with the word's ends marked, and the 4-grams that touch an end
     (affixes). Computed on code points, all words at once.
     """
-    line = "".join(f"^{w[:40]}$" for w in words)
+    line = "".join(f"^{w}$" for w in words)
     c = np.frombuffer(line.encode("utf-32-le"), dtype="<u4").astype(np.int64)
-    start = np.cumsum([0] + [min(len(w), 40) + 2 for w in words])
+    start = np.cumsum([0] + [len(w) + 2 for w in words])
     owner = np.repeat(np.arange(len(words)), np.diff(start))
     ends = start[1:][owner]
     first = np.arange(len(c)) == start[:-1][owner]
@@ -136,7 +152,7 @@ def fit(rows: list[tuple[str, str]], steps: int = 40, rate: float = 0.5, decay:
     runs: list[tuple[int, list[str]]] = []
     counts: list[dict[str, int]] = [{} for _ in langs]
     for text, lang in rows:
-        words = [w for w in map(clean, text.split()) if w]
+        words = [w for w in map(clean, tokens_of(text)) if w]
         for w in words:
             counts[number[lang]][w] = counts[number[lang]].get(w, 0) + 1
         at = 0
@@ -250,7 +266,7 @@ class Tagger:
         """Yields, for each text: its number, posteriors of the tokens that have letters, and these tokens' letters."""
         if len(self.at) > CACHE:
             self._reset()
-        ids = [np.array(list(map(self.at.__getitem__, t.split())), np.int32) for t in many]
+        ids = [np.array(list(map(self.at.__getitem__, tokens_of(t))), np.int32) for t in many]
         self._learn()
         ids = [x[self.weight[x] > 0] for x in ids]
         order = sorted(range(len(many)), key=lambda i: len(ids[i]))

@@ -347,3 +347,14 @@ def test_near_dedup_stage_matches_brute_force(spark, docs):
     frame = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], DOC)
     got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, frame, SF).collect())
     assert got == brute_near_dedup(rows) and sum(got.values()) < len(rows) - 50
+
+
+def test_language_scores_every_letter_of_a_run_without_spaces():
+    rng = random.Random(4)
+    word = lambda letters: "".join(rng.choices(letters, k=6))
+    rows = [(" ".join(word(letters) for _ in range(60)), lang) for letters, lang in (("abcde", "aa"), ("vwxyz", "zz")) for _ in range(20)]
+    tagger = langid.Tagger(langid.fit(rows))
+    run = "".join(rng.choices("abcde", k=40)) + "".join(rng.choices("vwxyz", k=120))
+    names, scores = tagger.label([run, "1" + run + ".", run[:40], "".join(reversed(run))])
+    assert names == ["zz", "zz", "aa", "zz"] and all(0.65 < scores[i] < 0.85 for i in (0, 1, 3)) and scores[2] > 0.9
+    assert "".join(langid.tokens_of(f"a {run} 12")) == f"a{run}12"
