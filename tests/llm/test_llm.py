@@ -358,3 +358,11 @@ def test_language_scores_every_letter_of_a_run_without_spaces():
     names, scores = tagger.label([run, "1" + run + ".", run[:40], "".join(reversed(run))])
     assert names == ["zz", "zz", "aa", "zz"] and all(0.65 < scores[i] < 0.85 for i in (0, 1, 3)) and scores[2] > 0.9
     assert "".join(langid.tokens_of(f"a {run} 12")) == f"a{run}12"
+
+
+def test_near_dedup_keeps_rows_without_id_and_other_texts_of_an_id(spark):
+    a, b, c = "one two three four five six seven", "eight nine ten eleven twelve thirteen", "fourteen fifteen sixteen seventeen eighteen"
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, a), (None, a)]
+    frame = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], DOC)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, frame, SF).collect())
+    assert got == Counter({(1, a): 1, (2, b): 1, (3, c): 1, (None, a): 2})
