@@ -1,60 +1,15 @@
-"""The two functions that Spark has no expression for, as Arrow-batched UDFs."""
+"""The function that Spark has no expression for, as an Arrow-batched UDF."""
 
 from __future__ import annotations
 
 import unicodedata
-import zlib
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TIBETAN = str.maketrans("0123456789", "༠༡༢༣༤༥༦༧༨༩")
-ASCII = str.maketrans("༠༡༢༣༤༥༦༧༨༩", "0123456789")
-
 
 @F.pandas_udf(T.StringType())
 def nfc(c: pd.Series) -> pd.Series:
     """Unicode normal form C; null stays null."""
     return c.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
-
-
-def _draw(num: str, *key: object) -> str:
-    """A number of as many digits, set by the key alone; a number never becomes itself unless it must."""
-    low = 10 ** (len(num) - 1) if len(num) > 1 else 0
-    room = 10 ** len(num) - low
-    return str(low + zlib.crc32("|".join(map(str, [*key, num])).encode()) % room).zfill(len(num))
-
-
-def substitute(dz: str, en: str, *key: object) -> tuple[str, str] | None:
-    """Every number of an aligned pair replaced on both sides at once; None where that fails.
-
-    All numbers are mapped together, so a replacement is never replaced again, and each must
-    occur on both sides (in Tibetan digits on the first).
-    """
-    import re
-
-    numbers = set(re.findall(r"\d+", dz.translate(ASCII)))
-    if not numbers or numbers != set(re.findall(r"\d+", en.translate(ASCII))):
-        return None
-    new = {n: _draw(n, *key) for n in numbers}
-    if any(a == b for a, b in new.items()):
-        return None
-    done: set[str] = set()
-
-    def put(m, to):
-        n = m[0].translate(ASCII)
-        done.add(n)
-        return new[n].translate(TIBETAN) if to else new[n]
-
-    out_dz = re.sub(r"[༠-༩]+", lambda m: put(m, True) if m[0].translate(ASCII) in new else m[0], dz)
-    if done != numbers:
-        return None
-    return out_dz, re.sub(r"\d+", lambda m: put(m, False) if m[0].translate(ASCII) in new else m[0], en)
-
-
-@F.pandas_udf(T.StructType([T.StructField("dz", T.StringType()), T.StructField("en", T.StringType())]))
-def substitute_digits(dz: pd.Series, en: pd.Series, key: pd.Series) -> pd.DataFrame:
-    """Struct of both sides with numbers replaced, nulls where no substitution holds."""
-    rows = [(substitute(a, b, k) if a is not None and b is not None else None) or (None, None) for a, b, k in zip(dz, en, key)]
-    return pd.DataFrame(rows, columns=["dz", "en"])

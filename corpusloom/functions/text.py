@@ -22,12 +22,15 @@ GAZETTEER = (
     "britain british france french germany german korea korean thailand bangladesh buddha buddhism buddhist monday tuesday wednesday thursday friday saturday "
     "sunday january february march april may june july august september october november december"
 ).split()
+TIBETAN_BLOCK = r"\x{0F00}-\x{0FFF}"
 TIBETAN_DIGITS, ASCII_DIGITS = "༠༡༢༣༤༥༦༧༨༩", "0123456789"
 _WS = r"\s\x1c-\x1f"
 WS = rf"(?U)[{_WS}]"
 #: What may stand before a sentence without being part of it (spaces, pipes, head marks, dashes, bullets, points).
-LEADING_JUNK = rf"(?U)^[{_WS}|༉༄༅༆༇࿐࿑\-–—•·:;,.]+"
-TRAILING_JUNK = rf"(?U)[{_WS}|]+$"
+_JUNK = r"|༉༄༅༆༇࿐࿑\-–—•·:;,."
+JUNK_AT_ENDS = rf"(?U)^[{_WS}{_JUNK}]+|[{_WS}|]+\z"
+#: White space that isn't one plain space.
+WS_RUN = rf"(?U)[{_WS}]{{2,}}|[{_WS}&&[^ ]]"
 
 
 def let(x: Column, use: Callable[[Column], Column]) -> Column:
@@ -42,7 +45,7 @@ def strip(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return strip(F.regexp_replace(c, rf"{WS}+", " "))
+    return strip(F.regexp_replace(c, WS_RUN, " "))
 
 
 def chunks(c: Column) -> Column:
@@ -143,12 +146,17 @@ def host_of(url: Column) -> Column:
 
 
 def clean_sentence(c: Column) -> Column:
-    """Without pipes, marks before and white space around."""
-    s = F.regexp_replace(c, r"\|", " ")
-    return squeeze(F.regexp_replace(F.regexp_replace(s, LEADING_JUNK, ""), TRAILING_JUNK, ""))
+    """Without pipes, marks before and white space around; runs of white space as one space."""
+    s = F.regexp_replace(F.translate(c, "|", " "), JUNK_AT_ENDS, "")
+    return F.regexp_replace(s, WS_RUN, " ")
 
 
-def script_ratio(c: Column, block: str = r"\x{0F00}-\x{0FFF}") -> Column:
+def spaces_per_syllable(c: Column) -> Column:
+    """Plain spaces for each tsheg; 0 without one."""
+    return F.coalesce(F.try_divide(count_of(c, " ").cast("double"), count_of(c, TSHEG)), F.lit(0.0))
+
+
+def script_ratio(c: Column, block: str = TIBETAN_BLOCK) -> Column:
     """Share of the characters other than white space that belong to ``block``; 0 if there are none."""
     own = F.length(F.regexp_replace(c, f"[^{block}]", "")).cast("double")
     rest = F.length(F.regexp_replace(c, WS, ""))
@@ -165,6 +173,49 @@ def digit_conflict(dz: Column, en: Column) -> Column:
     return (F.size(digits_in(en)) > 0) & (digits_in(en) != digits_in(dz))
 
 
+def _draw(num: Column, key: Column) -> Column:
+    """A number of as many digits, set by the key and the number alone; no leading zero unless it has one digit."""
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.length(num) - 1) / 15).cast("int")), lambda i: _draw_part(num, key, i))
+    return F.array_join(parts, "")
+
+
+def _draw_part(num: Column, key: Column, i: Column) -> Column:
+    size = F.least(F.length(num) - i * 15, F.lit(15))
+    low = F.when((i == 0) & (size > 1), _power10(size - 1)).otherwise(F.lit(0).cast("bigint"))
+    drawn = F.conv(F.left(F.md5(F.concat_ws("|", key, num, i.cast("string"))), F.lit(15)), 16, 10).cast("bigint")
+    return F.lpad((low + F.pmod(drawn, _power10(size) - low)).cast("string"), size, F.lit("0"))
+
+
+def _power10(n: Column) -> Column:
+    return F.rpad(F.lit("1"), n + 1, F.lit("0")).cast("bigint")
+
+
+def substitute_digits(dz: Column, en: Column, key: Column) -> Column:
+    """Struct (dz, en) with every number of an aligned pair replaced on both sides at once; null where that fails.
+
+    A number's replacement is set by ``key`` and the number, so no replacement is replaced again. Each number must occur
+    on both sides, on the first in Tibetan digits, and must change.
+    """
+    tibetan = F.regexp_extract_all(dz, F.lit("[༠-༩]+|[^༠-༩]+"), F.lit(0))
+    english = F.regexp_extract_all(en, F.lit(r"(?U)\d+|\D+"), F.lit(0))
+
+    def whole(numbers: Column) -> Column:
+        there = F.transform(F.filter(tibetan, lambda p: p.rlike("^[༠-༩]")), lambda p: F.translate(p, TIBETAN_DIGITS, ASCII_DIGITS))
+        ok = (F.size(numbers) > 0) & (numbers == digits_in(en)) & (F.size(F.array_except(numbers, there)) == 0) & F.forall(numbers, lambda n: _draw(n, key) != n)
+
+        def put(pieces: Column, back: bool) -> Column:
+            def one(p: Column) -> Column:
+                n = F.translate(p, TIBETAN_DIGITS, ASCII_DIGITS)
+                new = let(n, lambda x: _draw(x, key))
+                return F.when(F.array_contains(numbers, n), F.translate(new, ASCII_DIGITS, TIBETAN_DIGITS) if back else new).otherwise(p)
+
+            return F.array_join(F.transform(pieces, one), "")
+
+        return F.when(ok, F.struct(put(tibetan, True).alias("dz"), put(english, False).alias("en")))
+
+    return let(digits_in(dz), whole)
+
+
 def has_repetition(c: Column, n: int = 4, limit: int = 3) -> Column:
     """Whether some n-gram of words occurs more than ``limit`` times."""
 
@@ -199,11 +250,23 @@ def direction_key(src: Column, tgt: Column) -> Column:
 
 
 def swap_english(sentence: Column, old: Column, new: Column) -> Column:
-    """``old`` (plural too) replaced by ``new``, its plural kept, and a/an set right after it.
+    """``old`` (plural too) replaced by ``new``, its plural kept with a small s, and a/an set right after it.
 
     A term that itself ends in s counts as plural, as upstream has it.
     """
-    quoted = F.concat(F.lit(r"(?iU)\b\Q"), old, F.lit(r"\E(s?)\b"))
-    plural = F.regexp_replace(sentence, quoted, F.concat(F.regexp_replace(new, r"([\\$])", r"\\$1"), F.when(F.lower(old).endswith("s"), "s").otherwise(F.lit("$1"))))
-    some = F.regexp_replace(plural, r"(?U)\ban (?=[^aeiouAEIOU\W])", "a ")
+    own = F.regexp_replace(new, r"([\\$])", r"\\$1")
+    term = F.concat(F.lit(r"(?iU)\b\Q"), old, F.lit(r"\E"))
+    # The plural's s is found and dropped in one pass, so that a replacement is never replaced again.
+    kept = F.when(F.lower(old).endswith("s"), F.regexp_replace(sentence, F.concat(term, F.lit(r"s?\b")), F.concat(own, F.lit("s")))).otherwise(
+        _plural(F.regexp_replace(sentence, F.concat(term, F.lit(r"(s?)\b")), F.concat(own, F.lit(MARK + "$1" + MARK))))
+    )
+    some = F.regexp_replace(kept, r"(?U)\ban (?=[^aeiouAEIOU\W])", "a ")
     return F.regexp_replace(some, r"(?U)\ba (?=[aeiouAEIOU])", "an ")
+
+
+#: A character that no text holds: a Unicode noncharacter.
+MARK = "\ufdd0"
+
+
+def _plural(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, f"{MARK}[sS]{MARK}", "s"), f"{MARK}.?{MARK}", "")

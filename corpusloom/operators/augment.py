@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions import text as X
 from corpusloom.operators.mining import term_hits
-from corpusloom.operators.order import sample_per_key
+from corpusloom.operators.order import first_rows, sample_per_key
 
 
 def lint(terms: DataFrame, order: str = "ord") -> DataFrame:
@@ -42,6 +42,15 @@ def lint_summary(linted: DataFrame) -> DataFrame:
     return linted.select(F.explode("problems").alias("p")).groupBy("p.kind").agg(F.count("*").alias("n"))
 
 
+def readiness(linted: DataFrame) -> DataFrame:
+    """One row ``(rows, usable, skip, error, warn, ready)``: ready unless there is an error."""
+    def n(kind: str) -> Column:
+        return F.coalesce(F.sum(F.size(F.filter("problems", lambda p: p["kind"] == kind))), F.lit(0)).cast("bigint")
+
+    out = linted.agg(F.count("*").alias("rows"), F.count_if("usable").alias("usable"), *[n(k).alias(k) for k in ("skip", "error", "warn")])
+    return out.withColumn("ready", F.col("error") == 0)
+
+
 def carriers(corpus: DataFrame, terms: DataFrame) -> DataFrame:
     """Rows that hold a term on the English side and one of its forms on the other: ``found`` is the first form in order of preference.
 
@@ -59,6 +68,13 @@ def carrier_counts(terms: DataFrame, carried: DataFrame) -> DataFrame:
     return terms.select("category", "term").join(n, ["category", "term"], "left").withColumn("carriers", F.coalesce("carriers", F.lit(0)))
 
 
+def carrier_report(counts: DataFrame, zero: int = 10, top: int = 5) -> DataFrame:
+    """``(kind, category, term, carriers)``: the first ``zero`` terms without a carrier, and the ``top`` richest, as a report asks for."""
+    none = first_rows(counts.where("carriers = 0"), zero, "category", "term").withColumn("kind", F.lit("none"))
+    rich = counts.where("carriers > 0").orderBy(F.desc("carriers"), F.desc("category"), F.desc("term")).limit(top).withColumn("kind", F.lit("richest"))
+    return none.union(rich).select("kind", "category", "term", "carriers")
+
+
 def augment(
     corpus: DataFrame, terms: DataFrame, phrases: DataFrame | None = None, max_carriers: int = 40, cross_per_term: int = 0, bare_repeat: int = 6, phrase_repeat: int = 8, seed: int = 42
 ) -> DataFrame:
@@ -84,6 +100,20 @@ def augment(
     return out
 
 
+def build_counts(made: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(counter, n)``: rows by origin, and terms with and without a carrier."""
+    rows = made.groupBy(F.col("origin").alias("counter")).agg(F.count("*").alias("n"))
+    kind = F.when(F.col("carriers") > 0, "terms_with_carrier").otherwise("terms_without_carrier")
+    return rows.union(counts.groupBy(kind.alias("counter")).agg(F.count("*").alias("n")))
+
+
+def show_rows(rows: DataFrame, sentences: int = 4, bare: int = 8) -> DataFrame:
+    """``(kind, src, tgt)``: a few English sources of more than five words, and a few of one word, for a reader's eye."""
+    own = rows.where(F.col("src_lang") == "eng_Latn").withColumn("__n", F.size(X.chunks(F.col("src"))))
+    long = first_rows(own.where("__n > 5"), sentences, "src", "tgt").select(F.lit("sentence").alias("kind"), "src", "tgt")
+    return long.union(first_rows(own.where("__n = 1"), bare, "src", "tgt").select(F.lit("bare"), "src", "tgt"))
+
+
 def normalize_augmented(pairs: DataFrame, markers=()) -> DataFrame:
     """Bare rows are only stripped; all others are normalised."""
     pair = X.normalize_pair(F.col("dz"), F.col("en"), markers)

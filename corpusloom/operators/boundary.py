@@ -15,9 +15,9 @@ def tails(line: Column) -> Column:
 
 def boundary_counts(lines: DataFrame, column: str = "value", tail=tails) -> DataFrame:
     """``(tail, total, before)``: how often a tail occurs, and how often not at the line's end."""
-    own = lines.select(tail(F.col(column)).alias("t"))
-    each = own.select(F.size("t").alias("n"), F.posexplode("t").alias("pos", "tail")).where("tail <> ''")
-    return each.groupBy("tail").agg(F.count("*").alias("total"), F.count_if(F.col("pos") < F.col("n") - 1).alias("before"))
+    marked = X.let(tail(F.col(column)), lambda t: F.transform(t, lambda x, i: F.struct(x.alias("tail"), (i < F.size(t) - 1).alias("inner"))))
+    each = lines.select(F.inline(F.filter(marked, lambda x: x["tail"] != "")))
+    return each.groupBy("tail").agg(F.count("*").alias("total"), F.count_if("inner").alias("before"))
 
 
 def learn_markers(lines: DataFrame, column: str = "value", min_count: int = 200, min_prob: float = 0.90, tail=tails) -> DataFrame:
@@ -25,6 +25,11 @@ def learn_markers(lines: DataFrame, column: str = "value", min_count: int = 200,
     return boundary_counts(lines, column, tail).where((F.col("total") >= min_count) & (F.col("before") / F.col("total") >= min_prob))
 
 
+def marker_lines(markers: DataFrame) -> DataFrame:
+    """Markers as sorted lines, for the marker file."""
+    return markers.select(F.col("tail").alias("value")).distinct().orderBy("value")
+
+
 def head_and_rest(lines: DataFrame, position: str, share: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """The first ``int(share * n)`` rows by a gapless position, and the others."""
     n = int(lines.count() * share)
@@ -36,8 +41,9 @@ def boundary_recall(lines: DataFrame, markers: DataFrame, column: str = "value",
 
     Markers join as a relation, so their number is free.
     """
-    own = lines.select(F.monotonically_increasing_id().alias("line"), tail(F.col(column)).alias("t")).where(F.size("t") >= 2)
-    each = own.select("line", F.explode(F.slice("t", F.lit(1), F.size("t") - 1)).alias("tail"))
+    inner = X.let(tail(F.col(column)), lambda t: F.when(F.size(t) >= 2, F.slice(t, F.lit(1), F.size(t) - 1)))
+    own = lines.select(F.monotonically_increasing_id().alias("line"), inner.alias("inner"))
+    each = own.select("line", F.explode("inner").alias("tail"))
     hit = each.join(markers.select("tail", F.lit(1).alias("hit")), "tail", "left")
     per_line = hit.groupBy("line").agg(F.count("*").alias("n"), F.count("hit").alias("tp"))
     return per_line.agg(

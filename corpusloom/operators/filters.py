@@ -32,14 +32,17 @@ def waterfall(df: DataFrame, rules: Sequence[tuple[str, Column]], name: str = "r
     return df.withColumn(name, out)
 
 
-def crawl_rules(url: Column, score: Column, text: Column, min_score: float = 0.85, min_ratio: float = 0.80, any_domain: bool = False) -> list[tuple[str, Column]]:
+def crawl_rules(
+    url: Column, score: Column, text: Column, min_score: float = 0.85, min_ratio: float = 0.80, any_domain: bool = False,
+    allowed: Sequence[str] = ALLOWED_HOSTS, blocked: Sequence[str] = BLOCKED_HOSTS, block: str = X.TIBETAN_BLOCK,
+) -> list[tuple[str, Column]]:
     """Blocked hosts always, allowed hosts unless any is, then the language score (none is 0), then the script."""
     host = X.host_of(F.coalesce(url, F.lit("")))
-    rules = [("blocked", host.isin(BLOCKED_HOSTS))]
+    rules = [("blocked", host.isin(*blocked))]
     if not any_domain:
-        rules.append(("domain", ~host.isin(ALLOWED_HOSTS)))
+        rules.append(("domain", ~host.isin(*allowed)))
     rules.append(("score", F.coalesce(score, F.lit(0.0)) < min_score))
-    rules.append(("script", X.script_ratio(F.coalesce(text, F.lit(""))) < min_ratio))
+    rules.append(("script", X.script_ratio(F.coalesce(text, F.lit("")), block) < min_ratio))
     return rules
 
 
@@ -48,10 +51,16 @@ def reject_counts(df: DataFrame, name: str = "reject_reason") -> DataFrame:
 
 
 def sentences(df: DataFrame, text: str, terminator: str = "[།༎]+", suffix: str = X.SHAD, order: str = "pos") -> DataFrame:
-    """Explode ``text`` into cleaned sentences with ``suffix`` put back; ``order`` is the position in the text."""
-    parts = df.withColumn("__parts", F.split(text, terminator, -1)).drop(text)
-    out = parts.select("*", F.posexplode("__parts").alias(order, "sentence")).drop("__parts")
-    return out.withColumn("sentence", X.clean_sentence(F.col("sentence"))).where("sentence <> ''").withColumn("sentence", F.concat("sentence", F.lit(suffix)))
+    """Explode ``text`` into cleaned sentences with ``suffix`` put back; ``order`` is the position in the text.
+
+    Pieces are cleaned and blank ones dropped inside the array, before the explode: tests of the result can't be pushed
+    through it, so each piece is cleaned once.
+    """
+    pieces = F.transform(F.split(F.col(text), terminator, -1), lambda s, i: F.struct(i.alias(order), X.clean_sentence(s).alias("sentence")))
+    kept = F.filter(pieces, lambda x: x["sentence"] != "")
+    if suffix:
+        kept = F.transform(kept, lambda x: F.struct(x[order].alias(order), F.concat(x["sentence"], F.lit(suffix)).alias("sentence")))
+    return df.select(*[c for c in df.columns if c != text], F.inline(kept))
 
 
 def within_bounds(df: DataFrame, column: str = "sentence", max_chars: int = 400, least: int = 4, most: int = 70, unit: str = X.TSHEG) -> DataFrame:

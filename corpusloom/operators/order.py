@@ -8,17 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.sources.scratch import cut
+
 
 def positions(df: DataFrame, *order: str, name: str = "row_id") -> DataFrame:
-    """Positions 0, 1, 2, ... by ``order`` without gathering rows in one task.
+    """Positions 0, 1, 2, ... by ``order`` without gathering rows in one task; rows that tie follow one another in any order.
 
-    Rows are range-partitioned and sorted; counts of the ranges, one row each, give every
-    range its start.
+    Rows are range-partitioned, sorted and written once with their range and place: a plan that ranged them twice, for
+    rows and for counts, would draw its bounds twice. Counts of the ranges, one row each, give every range its start.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    marked = ranged.select("*", F.monotonically_increasing_id().alias("__m"))
-    part, at = F.shiftright("__m", 33), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
-    placed = marked.select(*df.columns, part.alias("__part"), at.alias("__at"))
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = cut(ranged.select("*", F.spark_partition_id().alias("__part"), at.alias("__at")))
     sums = placed.groupBy("__part").agg(F.count("*").alias("__n"))
     ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("__part", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__start"))  # a row for each partition
@@ -34,8 +35,21 @@ def first_of(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 
 def seeded_order(seed: int, *keys: str) -> Column:
-    """A shuffle that depends on seed and keys alone, not on partitions."""
-    return F.xxhash64(F.lit(seed), *keys)
+    """A shuffle that depends on seed and keys alone, not on partitions: the MD5 of both, joined by bars, as any engine can draw it."""
+    return F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys]))
+
+
+def shuffled(df: DataFrame, seed: int, *keys: str, limit: int = 0) -> DataFrame:
+    """Rows in seeded order, numbered by ``draw``; the first ``limit`` of them where that is set."""
+    drawn = df.withColumn("__draw", seeded_order(seed, *keys))
+    if limit:
+        drawn = drawn.orderBy("__draw", *keys).limit(limit)
+    return positions(drawn, "__draw", *keys, name="draw").drop("__draw")
+
+
+def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows by ``order``: a top-n of each task, then of those."""
+    return df.orderBy(*order).limit(n)
 
 
 def sample_per_key(df: DataFrame, key: Sequence[str], n: int, seed: int, *identity: str) -> DataFrame:
@@ -46,18 +60,26 @@ def sample_per_key(df: DataFrame, key: Sequence[str], n: int, seed: int, *identi
 
 def hash_split(df: DataFrame, share: float, seed: int, *keys: str) -> DataFrame:
     """``split`` 'test' for about ``share`` of the rows, by hash."""
-    draw = F.pmod(seeded_order(seed, *keys), F.lit(1_000_000))
+    draw = F.pmod(F.conv(F.left(seeded_order(seed, *keys), F.lit(15)), 16, 10).cast("bigint"), F.lit(1_000_000))
     return df.withColumn("split", F.when(draw < int(share * 1_000_000), "test").otherwise("train"))
 
 
-def index_percentiles(df: DataFrame, value: str, shares: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+def index_percentiles(df: DataFrame, value: str, shares: dict[str, float], by: Sequence[str] = (), bins: int = 256) -> DataFrame:
     """Values at index ``int(n * share)`` of the sorted column, for each group.
 
-    Distinct values with their counts are ranked, not rows.
+    Distinct values with their counts are ranked, not rows, and in two steps: values fall into ``bins`` bins by their
+    place between the group's least and greatest, bins are summed, and only the values of a bin are sorted together.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    own = Window.partitionBy(*by)
-    upto = own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(own))
-    picks = [F.min(F.when(F.col("upto") > F.floor(F.col("total") * s), F.col(value))).alias(name) for name, s in shares.items()]
-    return ranked.groupBy(*by).agg(F.max("total").alias("n"), *picks)
+    counts = cut(counts)
+    ends = counts.groupBy(*by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum("n").alias("__total"))
+    own = counts.join(ends, list(by)) if by else counts.crossJoin(F.broadcast(ends))  # one row
+    width = F.try_divide(F.col(value).cast("double") - F.col("__lo").cast("double"), F.col("__hi").cast("double") - F.col("__lo").cast("double"))
+    own = own.withColumn("__bin", F.least(F.floor(F.coalesce(width, F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int"))
+    sums = own.groupBy(*by, "__bin").agg(F.sum("n").alias("__b"))
+    ahead = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*by, "__bin", F.coalesce(F.sum("__b").over(ahead), F.lit(0)).alias("__start"))
+    within = Window.partitionBy(*by, "__bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = own.withColumn("__own", F.sum("n").over(within)).join(starts, [*by, "__bin"]).withColumn("__upto", F.col("__start") + F.col("__own"))
+    picks = [F.min(F.when(F.col("__upto") > F.floor(F.col("__total") * s), F.col(value))).alias(name) for name, s in shares.items()]
+    return ranked.groupBy(*by).agg(F.max("__total").alias("n"), *picks)

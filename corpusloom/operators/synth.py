@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.functions.arrow import substitute_digits
 from corpusloom.operators.filters import tag_synthetic, waterfall
+from corpusloom.operators.order import first_rows
 
 
 def translate(df: DataFrame, column: str, out: str, load: Callable[[], Callable[[Sequence[str]], Sequence[str]]], batch: int = 32) -> DataFrame:
@@ -43,15 +43,23 @@ def digit_variants(df: DataFrame, key: str = "row_id", copies: int = 4, seed: in
     """Up to ``copies`` further pairs with other numbers, for pairs with the same numbers on both sides."""
     same = df.where((F.size(X.digits_in(F.col("dz"))) > 0) & (X.digits_in(F.col("dz")) == X.digits_in(F.col("en"))))
     each = same.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
-    drawn = each.withColumn("__s", substitute_digits("dz", "en", F.concat_ws("|", F.lit(seed), F.col(key), "copy")))
+    drawn = each.withColumn("__s", X.substitute_digits(F.col("dz"), F.col("en"), F.concat_ws("|", F.lit(seed), F.col(key).cast("string"), F.col("copy").cast("string"))))
     return drawn.where("__s.dz is not null").withColumns({"dz": F.col("__s.dz"), "en": F.col("__s.en")}).drop("__s")
 
 
-def synthetic_rows(df: DataFrame, copies: int = 4, seed: int = 42, **limits) -> DataFrame:
+def synthetic_rows(df: DataFrame, copies: int = 4, seed: int = 42, tag: str = "<bt> ", **limits) -> DataFrame:
     """Kept pairs and their digit variants as tagged rows."""
     kept = filter_synthetic(df, **limits).where("reject_reason is null").drop("reject_reason")
-    both = kept.select("dz", "en").unionByName(digit_variants(kept, copies=copies, seed=seed).select("dz", "en"))
-    return tag_synthetic(both)
+    both = kept.select("dz", "en")
+    if copies:
+        both = both.unionByName(digit_variants(kept, copies=copies, seed=seed).select("dz", "en"))
+    return tag_synthetic(both, tag)
+
+
+def rejected_samples(filtered: DataFrame, reason: str = "digits", n: int = 5, width: int = 70, order: str = "row_id") -> DataFrame:
+    """The first ``n`` pairs that a rule cost, both sides cut to ``width`` characters for show."""
+    own = filtered.where(F.col("reject_reason") == reason)
+    return first_rows(own, n, order).select(order, *[F.left(c, F.lit(width)).alias(c) for c in ("dz", "en")])
 
 
 def digit_drop_rate(filtered: DataFrame) -> DataFrame:

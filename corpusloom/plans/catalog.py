@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.operators import augment, boundary, dedup, filters, metrics, mining, order, synth
+from corpusloom.operators import augment, boundary, dedup, filters, metrics, mining, order, report, synth
 from corpusloom.plans import flows
-from corpusloom.sources import readers
+from corpusloom.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,7 +34,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return readers.spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 def _sentences(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
@@ -51,10 +51,7 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _corpus(spark: SparkSession, d: str) -> DataFrame:
-    """All sentences, of any length and language, as both sides of a corpus: the words of one stand for the chunks of the other.
-
-    ``SQL_CORPUS`` still states English sentences of at most 200 characters, so the SQL of the queries over this corpus states less than they give.
-    """
+    """All sentences, of any length and language, as both sides of a corpus: the words of one stand for the chunks of the other."""
     own = _sentences(spark, d)
     return own.select((F.col("doc_id") * 100000 + F.col("pos")).alias("row_id"), F.col("sentence").alias("dz"), F.col("sentence").alias("en"))
 
@@ -77,7 +74,7 @@ SQL_PAIRS = """
 pairs AS (SELECT u.conv_id * 1000 + u.turn AS row_id, u.text AS dz, a.text AS en FROM conversations u JOIN conversations a
           ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"""
 SQL_CORPUS = f"""{SQL_SENT},
-corpus AS (SELECT doc_id * 100000 + pos AS row_id, sentence AS en FROM sent WHERE lang = 'en' AND length(sentence) <= 200)"""
+corpus AS (SELECT doc_id * 100000 + pos AS row_id, sentence AS en FROM sent)"""
 SQL_TERMS = "terms(category, term) AS (VALUES " + ", ".join(f"('{c}', '{t}')" for c, t in TERMS) + ")"
 SQL_HITS = f"""{SQL_CORPUS}, {SQL_TERMS},
 lw AS (SELECT row_id, en, regexp_extract_all(lower(en), '[\\p{{L}}\\p{{N}}_]+') AS w FROM corpus),
@@ -118,13 +115,22 @@ def train_report(spark: SparkSession, d: str) -> DataFrame:
     return dedup.train_report(own, pool)
 
 
-@query("""SELECT CASE WHEN source IN ('src3', 'src7') THEN 'blocked' WHEN coalesce(quality, 0) < 0.85 THEN 'score'
+HOSTS_OUT, HOSTS_IN = ("src3.org", "src7.org"), tuple(f"src{i}.org" for i in range(16))
+
+
+def _crawl(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as crawl documents: the source gives the address, the label the score."""
+    docs = _table(spark, d, "documents").join(_table(spark, d, "labels"), "doc_id", "left")
+    return docs.withColumn("url", F.concat(F.lit("https://"), F.upper("source"), F.lit(".org/page")))
+
+
+@query(f"""SELECT CASE WHEN source || '.org' IN {HOSTS_OUT} THEN 'blocked' WHEN coalesce(source || '.org', '') NOT IN {HOSTS_IN} THEN 'domain' WHEN coalesce(quality, 0) < 0.85 THEN 'score'
 WHEN coalesce(length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) / nullif(length(regexp_replace(text, '\\s', '', 'g')), 0), 0) < 0.8 THEN 'script' ELSE 'kept' END AS reject_reason, count(*) AS n
 FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""")
 def reject_waterfall(spark: SparkSession, d: str) -> DataFrame:
-    docs = _table(spark, d, "documents").join(_table(spark, d, "labels"), "doc_id", "left")
-    rules = [("blocked", F.col("source").isin("src3", "src7")), ("score", F.coalesce("quality", F.lit(0)) < 0.85), ("script", X.script_ratio(F.col("text"), "a-zA-Z") < 0.8)]
-    return filters.reject_counts(filters.waterfall(docs, rules))
+    """The crawl rules: hosts blocked, hosts not allowed, language score, script."""
+    rules = filters.crawl_rules(F.col("url"), F.col("quality"), F.col("text"), allowed=HOSTS_IN, blocked=HOSTS_OUT, block="a-zA-Z")
+    return filters.reject_counts(filters.waterfall(_crawl(spark, d), rules))
 
 
 @query("""SELECT CASE WHEN position('://' IN url) > 0 THEN lower(coalesce(string_split(url, '/')[3], '')) ELSE '' END AS host, count(*) AS n FROM pages GROUP BY 1""")
@@ -225,14 +231,6 @@ def augmentation_counts(spark: SparkSession, d: str) -> DataFrame:
     return made.groupBy("origin").agg(F.count("*").alias("n"))
 
 
-@query()
-def augmented_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Sampled carriers and their loans: the draw is a hash that SQL engines do not share."""
-    phrases = spark.createDataFrame([("ཤིང་", "tree")], "dz string, en string")
-    made = augment.augment(_corpus(spark, d), _full_terms(spark).withColumn("dz", F.concat(F.lit("ཀ་"), "term")), phrases, cross_per_term=5)
-    return augment.normalize_augmented(made)
-
-
 @query("""SELECT conf, count(*) AS n FROM (SELECT CASE WHEN quality = 1 THEN 'high' WHEN toxic = 1 THEN 'MISSING' ELSE 'low' END AS conf FROM labels) WHERE conf <> 'low' GROUP BY conf""")
 def confidence_gate(spark: SparkSession, d: str) -> DataFrame:
     conf = F.when(F.col("quality") == 1, "high").when(F.col("toxic") == 1, "MISSING").otherwise("low")
@@ -243,25 +241,50 @@ SQL_SYNTH = f"""{SQL_PAIRS}, w AS (SELECT row_id, dz, en, list_filter(regexp_spl
 g AS (SELECT row_id, max(k) AS k FROM (SELECT row_id, g, count(*) AS k FROM (SELECT row_id, array_to_string(b[i:i + 3], ' ') AS g FROM (SELECT row_id, b, unnest(range(1, greatest(len(b) - 3, 0) + 1)) AS i FROM w)) GROUP BY ALL) GROUP BY row_id)"""
 
 
-@query(f"""WITH {SQL_SYNTH} SELECT CASE WHEN trim(en) = '' THEN 'empty' WHEN len(b) / greatest(len(a), 1) NOT BETWEEN 0.25 AND 3.0 THEN 'ratio' WHEN len(b) >= 8 AND coalesce(k, 0) > 3 THEN 'repetition' ELSE 'kept' END AS reject_reason, count(*) AS n
-FROM w LEFT JOIN g USING (row_id) GROUP BY 1""")
+SQL_REASON = """CASE WHEN trim(en) = '' THEN 'empty' WHEN len(b) / greatest(len(a), 1) NOT BETWEEN 0.25 AND 3.0 THEN 'ratio' WHEN len(b) >= 8 AND coalesce(k, 0) > 3 THEN 'repetition'
+WHEN regexp_matches(en, '[0-9]') AND list_sort(list_distinct(regexp_extract_all(en, '[0-9]+'))) <> list_sort(list_distinct(regexp_extract_all(dz, '[0-9]+'))) THEN 'digits' ELSE 'kept' END"""
+
+
+@query(f"WITH {SQL_SYNTH} SELECT {SQL_REASON} AS reject_reason, count(*) AS n FROM w LEFT JOIN g USING (row_id) GROUP BY 1")
 def synthetic_rejects(spark: SparkSession, d: str) -> DataFrame:
-    """The default cascade, contradicting numbers too; the SQL above has no such rule yet and counts those pairs as kept."""
+    """The default cascade, contradicting numbers too."""
     return filters.reject_counts(synth.filter_synthetic(_pairs(spark, d)))
 
 
-@query()
+@query(f"""WITH {SQL_SYNTH}, f AS (SELECT {SQL_REASON} AS reason FROM w LEFT JOIN g USING (row_id))
+SELECT count(*) AS rows, count(*) FILTER (reason = 'digits') AS dropped, coalesce(count(*) FILTER (reason = 'digits') / nullif(count(*), 0), 0) AS rate FROM f""")
+def digit_drop_rate(spark: SparkSession, d: str) -> DataFrame:
+    return synth.digit_drop_rate(synth.filter_synthetic(_pairs(spark, d)))
+
+
+_TIBETAN = f"'{X.ASCII_DIGITS}', '{X.TIBETAN_DIGITS}'"
+#: A number's replacement: parts of up to 15 digits, each drawn from an MD5.
+SQL_DRAW = """array_to_string(list_transform(range(0, (length(n) - 1) // 15 + 1), lambda i: lpad(CAST(
+CASE WHEN i = 0 AND length(n) > 1 THEN pow(10, least(length(n), 15) - 1)::BIGINT ELSE 0 END + ('0x' || left(md5(key || '|' || n || '|' || i), 15))::BIGINT
+% (pow(10, least(length(n) - i * 15, 15))::BIGINT - CASE WHEN i = 0 AND length(n) > 1 THEN pow(10, least(length(n), 15) - 1)::BIGINT ELSE 0 END) AS VARCHAR), least(length(n) - i * 15, 15)::INT, '0')), '')"""
+
+
+@query(f"""WITH w AS (SELECT doc_id AS row_id, translate(coalesce(text, ''), {_TIBETAN}) AS dz, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS b FROM documents),
+g AS (SELECT row_id, max(k) AS k FROM (SELECT row_id, g, count(*) AS k FROM (SELECT row_id, array_to_string(b[i:i + 3], ' ') AS g FROM (SELECT row_id, b, unnest(range(1, greatest(len(b) - 3, 0) + 1)) AS i FROM w)) GROUP BY ALL) GROUP BY row_id),
+kept AS (SELECT row_id, dz, array_to_string(b, ' ') AS en FROM w LEFT JOIN g USING (row_id) WHERE len(b) > 0 AND NOT (len(b) >= 8 AND coalesce(k, 0) > 3)),
+c AS (SELECT row_id, dz, en, '42|' || row_id || '|' || copy AS key, list_distinct(regexp_extract_all(en, '[0-9]+')) AS ns FROM (SELECT *, unnest(range(1, 5)) AS copy FROM kept WHERE regexp_matches(en, '[0-9]'))),
+m AS (SELECT key, map_from_entries(list((n, {SQL_DRAW}))) AS new, bool_or(n = {SQL_DRAW}) AS same FROM (SELECT key, unnest(ns) AS n FROM c) GROUP BY key),
+v AS (SELECT array_to_string(list_transform(regexp_extract_all(en, '[0-9]+|[^0-9]+'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN new[p] ELSE p END), '') AS en,
+array_to_string(list_transform(regexp_extract_all(translate(dz, '{X.TIBETAN_DIGITS}', '{X.ASCII_DIGITS}'), '[0-9]+|[^0-9]+'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN translate(new[p], {_TIBETAN}) ELSE p END), '') AS dz FROM c JOIN m USING (key) WHERE NOT same)
+SELECT '<bt> ' || en AS src, dz AS tgt, 'eng_Latn' AS src_lang, 'dzo_Tibt' AS tgt_lang FROM (SELECT dz, en FROM kept UNION ALL SELECT dz, en FROM v)""")
 def synthetic_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Tagged rows of a stub translator, with digit variants, over all documents and whole texts."""
-    docs = _table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("dz"))
-    made = synth.translate(docs, "dz", "en", lambda: lambda texts: [" ".join((t or "").lower().split()) for t in texts])
+    """Tagged rows of a stub translator, with digit variants, over all documents and whole texts; a null text counts as empty."""
+    ascii_digits = str.maketrans(X.TIBETAN_DIGITS, X.ASCII_DIGITS)
+    docs = _table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), F.translate(F.coalesce("text", F.lit("")), X.ASCII_DIGITS, X.TIBETAN_DIGITS).alias("dz"))
+    made = synth.translate(docs, "dz", "en", lambda: lambda texts: [" ".join(t.translate(ascii_digits).lower().split()) for t in texts])
     return synth.synthetic_rows(made)
 
 
-@query("""SELECT doc_id, max(k) > 3 AS repeats FROM (SELECT doc_id, g, count(*) AS k FROM (SELECT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM
-(SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents) WHERE len(w) >= 8)) GROUP BY ALL) GROUP BY doc_id""")
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents),
+k AS (SELECT doc_id, max(k) AS k FROM (SELECT doc_id, g, count(*) AS k FROM (SELECT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM w WHERE len(w) >= 8)) GROUP BY ALL) GROUP BY doc_id)
+SELECT doc_id, coalesce(k > 3, false) AS repeats FROM w LEFT JOIN k USING (doc_id)""")
 def repetition(spark: SparkSession, d: str) -> DataFrame:
-    """Every document, false for short and null texts; the SQL above still leaves those of fewer than eight words out."""
+    """Every document, false for short and null texts."""
     return _table(spark, d, "documents").select("doc_id", X.has_repetition(F.coalesce("text", F.lit(""))).alias("repeats"))
 
 
@@ -276,26 +299,71 @@ def numeral_share(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "documents").groupBy("lang").agg(F.avg(F.col("text").rlike("[༠-༩0-9]").cast("int")).alias("share"))
 
 
-@query("""WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_id FROM documents)
-SELECT CASE WHEN row_id < (SELECT count(*) FROM p) * 7 // 10 THEN 'train' ELSE 'held' END AS split, count(*) AS n, min(row_id) AS lo, max(row_id) AS hi FROM p GROUP BY 1""")
+@query(f"""WITH {SQL_SENT}, p AS (SELECT sentence, row_number() OVER (ORDER BY doc_id, pos) - 1 AS row_id FROM sent)
+SELECT row_id, md5(sentence) AS digest, CASE WHEN row_id < (SELECT count(*) FROM p) * 7 // 10 THEN 'train' ELSE 'held' END AS split FROM p""")
 def range_splits(spark: SparkSession, d: str) -> DataFrame:
-    docs = order.positions(_table(spark, d, "documents").select("doc_id"), "doc_id")
-    n = docs.count()
-    parts = readers.range_splits(docs, {"train": n * 7 // 10, "held": n - n * 7 // 10}, expect=False)
-    return parts.groupBy("split").agg(F.count("*").alias("n"), F.min("row_id").alias("lo"), F.max("row_id").alias("hi"))
+    """All sentences numbered in order and cut into two ranges; texts come along, so a misplaced row shows."""
+    own = order.positions(_sentences(spark, d).drop("lang"), "doc_id", "pos")
+    n = own.count()
+    parts = readers.range_splits(own, {"train": n * 7 // 10, "held": n - n * 7 // 10})
+    return parts.select("row_id", F.md5("sentence").alias("digest"), "split")
+
 
+@query(f"""WITH {SQL_SENT}, p AS (SELECT sentence, row_number() OVER (ORDER BY doc_id, pos) - 1 AS row_id FROM sent), t AS (SELECT list_filter(string_split(sentence, ' '), lambda x: x <> '') AS w FROM p WHERE row_id >= CAST(floor((SELECT count(*) FROM p) * 0.7) AS BIGINT))
+SELECT count(*) AS lines, sum(len(w))::BIGINT AS chunks FROM t""")
+def held_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The positional cut that markers are validated on: lines and chunks of its held-out part."""
+    own = order.positions(_sentences(spark, d).drop("lang"), "doc_id", "pos")
+    held = boundary.head_and_rest(own, "row_id")[1]
+    return held.agg(F.count("*").alias("lines"), F.sum(F.size(X.space_chunks(F.col("sentence")))).alias("chunks"))
 
-@query("SELECT a.item_id AS id, a.text AS dz, b.text AS en FROM benchmark a JOIN (SELECT item_id, max(text) AS text FROM benchmark GROUP BY item_id) b USING (item_id)")
+
+@query("SELECT a.item_id AS id, a.text AS dz, b.text AS en FROM benchmark a JOIN (SELECT doc_id, max(text) AS text FROM documents GROUP BY doc_id) b ON a.item_id = b.doc_id")
 def benchmark_pairs(spark: SparkSession, d: str) -> DataFrame:
-    own = _table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return readers.join_languages(own, own)
+    """Two tables joined on their ids: items, and documents of the same id."""
+    items, docs = _table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"), _table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return readers.join_languages(items, docs, expect=True)
+
+
+_STRIP = r"regexp_replace({}, '^[\s]+|[\s]+$', '', 'g')"
+
+
+def _sql_normalized(source: str, out: str, markers: tuple[str, ...] = ()) -> str:
+    """CTEs from ``source`` (k, dz, en) to ``out`` (k, dz, en): both sides normalised, question marks by the raw Dzongkha."""
+    names = ", ".join(repr(w) for w in X.GAZETTEER)
+    marks = ", ".join(f"'{m}'" for m in markers) or "NULL"
+    tail = f"coalesce(list_filter(string_split(t, '{X.TSHEG}'), lambda y: y <> '')[-1], '')"
+    return rf"""
+{out}_a AS (SELECT k, list_filter(regexp_split_to_array(dz, '\s+'), lambda x: x <> '') AS w, regexp_replace({_STRIP.format("en")}, '\s{{2,}}', ', ', 'g') AS s FROM {source}),
+{out}_b AS (SELECT k, w, coalesce(w[-1] IN ({", ".join(f"'{q}'" for q in X.QUESTION_PARTICLES)}), false) AS asks,
+array_to_string(list_transform(w, lambda t, i: CASE WHEN right(t, 1) = '{X.TSHEG}' THEN t || CASE WHEN i < len(w) AND {tail} IN ({marks}) THEN ' ' ELSE '' END
+ELSE t || CASE WHEN right(t, 1) = '{X.NGA}' THEN '{X.TSHEG}{X.SHAD}' ELSE '{X.SHAD}' END || CASE WHEN i < len(w) THEN ' ' ELSE '' END END), '') AS body,
+array_to_string(list_transform(string_split(s, ' '), lambda x: CASE WHEN list_contains([{names}], x) THEN upper(x[1]) || x[2:] ELSE x END), ' ') AS s FROM {out}_a),
+{out}_c AS (SELECT k, asks, body, s, CASE WHEN right(body, 1) = '{X.TSHEG}' THEN left(body, length(body) - 1) ELSE body END AS bare,
+array_to_string(list_transform(range(1, len(s) + 1), lambda i: CASE WHEN regexp_matches(s[i], '[a-z]') AND (i = 1 OR (regexp_matches(s[i - 1], '\s') AND s[i - 2] IN ('.', '!', '?'))) THEN upper(s[i]) ELSE s[i] END), '') AS t FROM {out}_b),
+{out} AS (SELECT k, {_STRIP.format(rf"regexp_replace(CASE WHEN body = '' THEN '' WHEN right(body, 1) = '{X.SHAD}' THEN body WHEN right(bare, 1) = '{X.NGA}' THEN bare || '{X.TSHEG}{X.SHAD}' ELSE bare || '{X.SHAD}' END, '\s+', ' ', 'g')")} AS dz,
+CASE WHEN s = '' THEN '' WHEN right(t, 1) IN ('.', '!', '?') THEN t WHEN asks THEN t || '?' ELSE t || '.' END AS en FROM {out}_c)"""
+
 
+DZ_MARKERS = ("the", "of", "de")
 
-@query()
+
+@query(f"""WITH {SQL_PAIRS}, raw AS (SELECT row_id AS k, replace(dz, ' ', '{X.TSHEG} ') || CASE WHEN row_id % 3 = 0 THEN ' ན' ELSE '' END AS dz, en FROM pairs),{_sql_normalized("raw", "made", DZ_MARKERS)}
+SELECT k AS row_id, dz, en FROM made""")
 def normalized_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Both normalisers over derived text: words as syllables on one side, as they are on the other."""
-    pairs = _pairs(spark, d).withColumn("dz", F.replace("dz", F.lit(" "), F.lit(X.TSHEG + " ")))
-    return filters.normalize_pairs(pairs, ["the", "of", "de"])
+    """Both normalisers over derived text: words as syllables on one side, a third of them questions, as they are on the other."""
+    asked = F.when(F.col("row_id") % 3 == 0, " ན").otherwise("")
+    pairs = _pairs(spark, d).withColumn("dz", F.concat(F.replace("dz", F.lit(" "), F.lit(X.TSHEG + " ")), asked))
+    return filters.normalize_pairs(pairs, DZ_MARKERS)
+
+
+@query(f"""WITH {SQL_PAIRS} SELECT row_id, coalesce(list_filter(string_split(replace(dz, ' ', '{X.TSHEG}'), '{X.TSHEG}'), lambda x: x <> '')[-1], '') AS tail,
+dz LIKE '%?' AS asks, length(dz) - length(replace(dz, ' ', '')) AS spaces FROM pairs""")
+def scalar_tails(spark: SparkSession, d: str) -> DataFrame:
+    """Tail syllables, question marks and counted pieces of derived text."""
+    syllables = F.replace("dz", F.lit(" "), F.lit(X.TSHEG))
+    asks = X.is_dz_question(F.when(F.col("dz").endswith("?"), "x ག").otherwise("x"))
+    return _pairs(spark, d).select("row_id", X.tail_syllable(syllables).alias("tail"), asks.alias("asks"), X.count_of(F.col("dz"), " ").alias("spaces"))
 
 
 SQL_CHRF = f"""{SQL_PAIRS}, c AS (SELECT row_id, regexp_replace(dz, '\\s', '', 'g') AS h, regexp_replace(en, '\\s', '', 'g') AS r FROM pairs),
@@ -311,27 +379,79 @@ def chrf_score(spark: SparkSession, d: str) -> DataFrame:
     return metrics.chrf(own, words=0)
 
 
-@query()
+SQL_13A = {c: rf"""list_filter(string_split_regex(regexp_replace(regexp_replace(regexp_replace(regexp_replace(' ' || replace(replace(rtrim({c}, E' \n\t\r'), E'-\n', ''), E'\n', ' ') || ' ',
+'([{{-~\[-\x60 -&(-+:-@/])', ' \1 ', 'g'), '([^0-9])([.,])', '\1 \2 ', 'g'), '([.,])([^0-9])', ' \1 \2', 'g'), '([0-9])(-)', '\1 \2 ', 'g'), '\s+'), lambda x: x <> '')""" for c in ("hyp", "ref")}
+_MARKS = r"[!-/:-@\[-\x60{-~]"
+SQL_SCORED_WORDS = {c: rf"""flatten(list_transform(list_filter(regexp_split_to_array({c}, '\s+'), lambda x: x <> ''), lambda x: CASE WHEN length(x) > 1 AND regexp_matches(right(x, 1), '{_MARKS}') THEN [left(x, length(x) - 1), right(x, 1)]
+WHEN length(x) > 1 AND regexp_matches(left(x, 1), '{_MARKS}') THEN [left(x, 1), x[2:]] ELSE [x] END))""" for c in ("hyp", "ref")}
+
+
+def _sql_grams(kind: str, most: int) -> str:
+    """Clipped sums ``m, h, r`` by direction and n of the arrays ``h`` and ``r`` of ``kind``."""
+    both = " UNION ALL ".join(f"SELECT direction, row_id, n, {side} AS side, array_to_string({c}[i:i + n - 1], chr(1)) AS g FROM (SELECT direction, row_id, {c}, n, unnest(range(1, len({c}) - n + 2)) AS i FROM {kind}, range(1, {most + 1}) t(n))" for side, c in enumerate(("h", "r")))
+    return f"""{kind}_k AS (SELECT direction, row_id, n, g, count(*) FILTER (side = 0) AS h, count(*) FILTER (side = 1) AS r FROM ({both}) GROUP BY ALL),
+{kind}_s AS (SELECT direction, n, sum(least(h, r)) AS m, sum(h) AS h, sum(r) AS r FROM {kind}_k GROUP BY ALL)"""
+
+
+@query(rf"""WITH {SQL_PAIRS}, x AS (SELECT 'dzo2eng' AS direction, row_id, dz AS hyp, en AS ref FROM pairs UNION ALL SELECT 'eng2eng', row_id, en, en FROM pairs),
+b AS (SELECT direction, row_id, {SQL_13A["hyp"]} AS h, {SQL_13A["ref"]} AS r FROM x),
+c AS (SELECT direction, row_id, string_split(regexp_replace(hyp, '\s', '', 'g'), '') AS h, string_split(regexp_replace(ref, '\s', '', 'g'), '') AS r FROM x),
+w AS (SELECT direction, row_id, {SQL_SCORED_WORDS["hyp"]} AS h, {SQL_SCORED_WORDS["ref"]} AS r FROM x),
+{_sql_grams("b", 4)}, {_sql_grams("c", 6)}, {_sql_grams("w", 2)},
+p AS (SELECT direction, n, m, h, r, sum((m = 0)::INT) OVER (PARTITION BY direction ORDER BY n) AS zeros FROM b_s),
+bleu AS (SELECT direction, CASE WHEN max(m) FILTER (n = 1) > 0 THEN 100 * CASE WHEN max(h) FILTER (n = 1) < max(r) FILTER (n = 1) THEN exp(1 - max(r) FILTER (n = 1) / max(h) FILTER (n = 1)) ELSE 1 END
+* exp(sum(ln(CASE WHEN m = 0 THEN 1 / (pow(2, zeros) * h) ELSE m / h END)) / 4) ELSE 0 END AS bleu FROM p GROUP BY direction),
+f AS (SELECT direction, avg(m / h) AS p, avg(m / r) AS q FROM (SELECT * FROM c_s UNION ALL SELECT * FROM w_s) WHERE h > 0 AND r > 0 GROUP BY direction)
+SELECT direction, bleu, (SELECT count(*) FROM pairs) AS n, 100 * 5 * p * q / (4 * p + q) AS chrf FROM bleu JOIN f USING (direction)""")
 def bleu_and_chrf(spark: SparkSession, d: str) -> DataFrame:
     """BLEU and chrF++ of user turns against replies, and of replies against themselves."""
     own = _pairs(spark, d)
-    one = own.select(F.lit("dzo2eng").alias("direction"), F.col("row_id").alias("sent_id"), F.col("dz").alias("hyp"), F.col("en").alias("ref"))
-    both = one.union(own.select(F.lit("eng2eng"), "row_id", "en", "en"))
+    one = own.select(F.lit("dzo2eng").alias("direction"), F.col("dz").alias("hyp"), F.col("en").alias("ref"))
+    both = one.union(own.select(F.lit("eng2eng"), "en", "en"))
     return metrics.bleu(both).join(metrics.chrf(both).drop("n"), "direction")
 
 
+@query(f"""WITH {SQL_PAIRS}, x AS (SELECT list_sort(list_distinct(regexp_extract_all(dz, '[0-9]+'))) AS p, list_sort(list_distinct(regexp_extract_all(en, '[0-9]+'))) AS q FROM pairs)
+SELECT count(*) AS n, count(*) FILTER (p = q) AS kept FROM x WHERE len(p) > 0""")
+def digit_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.digit_round_trip(_pairs(spark, d), "dz", "en")
+
+
+@query("""WITH x AS (SELECT text, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) AS words FROM documents),
+r AS (SELECT words, row_number() OVER (ORDER BY words) - 1 AS i, count(*) OVER () AS n FROM x)
+SELECT count(*) AS rows, avg(CASE WHEN regexp_matches(text, '[0-9]') THEN 1.0 ELSE 0.0 END) AS digit_share, max(words)::INT AS max_words,
+sum(length(text) - length(replace(text, ' ', ''))) / sum(length(text) - length(replace(text, ',', ''))) AS spaces_per_syllable, avg(CASE WHEN contains(text, 'the') THEN 1.0 ELSE 0.0 END) AS honorific_share,
+(SELECT max(words)::INT FROM r WHERE i = CAST(floor(n * 0.95) AS BIGINT)) AS p95_words FROM x""")
+def corpus_audit(spark: SparkSession, d: str) -> DataFrame:
+    """The audit's figures, with commas as syllable marks and one word as honorific."""
+    return report.audit(_table(spark, d, "documents").select(F.coalesce("text", F.lit("")).alias("dz")), honorifics=("the",), unit=",")
+
+
+@query(f"""WITH {SQL_SENT}, x AS (SELECT sentence, length(sentence) - length(replace(sentence, ' ', '')) AS u FROM sent), r AS (SELECT u, row_number() OVER (ORDER BY u) - 1 AS i, count(*) OVER () AS n FROM x)
+SELECT count(*) AS sentences, count(*) FILTER (regexp_matches(sentence, '[0-9]')) AS with_numeral, (SELECT max(u)::INT FROM r WHERE i = n // 2) AS median,
+(SELECT max(u)::INT FROM r WHERE i = CAST(floor(n * 0.95) AS BIGINT)) AS p95 FROM x""")
+def sentence_profile(spark: SparkSession, d: str) -> DataFrame:
+    return report.sentence_profile(_sentences(spark, d), unit=" ")
+
+
 @query("SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 5")
 def richest_sources(spark: SparkSession, d: str) -> DataFrame:
     """Top five, as a report asks for."""
     return _table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(5)
 
 
-@query()
+@query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(concat_ws('|', 42, lang, doc_id)), doc_id) AS r FROM documents) WHERE r <= 40")
 def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
     """Up to 40 documents of each language by hash: a sampling operator."""
     return order.sample_per_key(_table(spark, d, "documents").select("doc_id", "lang"), ["lang"], 40, 42, "doc_id")
 
 
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5(concat_ws('|', 42, doc_id)), doc_id) - 1 AS draw FROM documents")
+def seeded_shuffle(spark: SparkSession, d: str) -> DataFrame:
+    """All documents in seeded order, told by their place in it."""
+    return order.shuffled(_table(spark, d, "documents").select("doc_id"), 42, "doc_id")
+
+
 @query("SELECT lang, source, count(*) AS n FROM (SELECT lang, source FROM documents UNION ALL SELECT lang, source FROM documents) GROUP BY ALL")
 def union_counts(spark: SparkSession, d: str) -> DataFrame:
     own = _table(spark, d, "documents").select("lang", "source")
@@ -354,9 +474,6 @@ def lint_kinds(spark: SparkSession, d: str) -> DataFrame:
     return augment.lint_summary(augment.lint(terms))
 
 
-_STRIP = r"regexp_replace({}, '^[\s]+|[\s]+$', '', 'g')"
-
-
 @query(f"""WITH {SQL_PAIRS}, b AS (SELECT {_STRIP.format("text")} AS dz FROM benchmark WHERE {_STRIP.format("text")} <> ''),
 p AS (SELECT DISTINCT {_STRIP.format("dz")} AS dz, {_STRIP.format("en")} AS en FROM pairs),
 t AS (SELECT dz, en FROM p WHERE dz <> '' AND en <> '' AND dz NOT IN (SELECT dz FROM b) AND en NOT IN (SELECT dz FROM b)),
@@ -380,13 +497,55 @@ def english_normalized(spark: SparkSession, d: str) -> DataFrame:
 
 
 SWAP = ("the", "owl")
+LOW = "abcdefghijklmnopqrstuvwxyz"
 
 
-@query(rf"""WITH {SQL_CORPUS}, s AS (SELECT row_id, en, regexp_replace(en, '(?i)\b{SWAP[0]}(s?)\b', '{SWAP[1]}\1', 'g') AS t FROM corpus)
-SELECT row_id, regexp_replace(regexp_replace(regexp_replace(t, '\ban ([^aeiouAEIOU\W])', 'a \1', 'g'), '\ba ([aeiouAEIOU])', 'an \1', 'g'), '\ba ([aeiouAEIOU])', 'an \1', 'g') AS en FROM s WHERE t <> en""")
+def _sql_swap(c: str, old: str, new: str) -> str:
+    """``swap_english`` for a term that ends in no s and a replacement that doesn't hold it."""
+    t = rf"regexp_replace(regexp_replace({c}, '(?i)\b' || {old} || 's\b', {new} || 's', 'g'), '(?i)\b' || {old} || '\b', {new}, 'g')"
+    return rf"regexp_replace(regexp_replace(regexp_replace({t}, '\ban ([^aeiouAEIOU\W])', 'a \1', 'g'), '\ba ([aeiouAEIOU])', 'an \1', 'g'), '\ba ([aeiouAEIOU])', 'an \1', 'g')"
+
+
+@query(rf"""WITH {SQL_CORPUS}, s AS (SELECT row_id, CASE WHEN row_id % 2 = 1 THEN translate(en, '{LOW}', '{LOW.upper()}') ELSE en END AS en FROM corpus)
+SELECT row_id, {_sql_swap("en", f"'{SWAP[0]}'", f"'{SWAP[1]}'")} AS en FROM s WHERE regexp_matches(en, '(?i)\b{SWAP[0]}s?\b')""")
 def noun_swaps(spark: SparkSession, d: str) -> DataFrame:
-    own = _corpus(spark, d).where(F.col("en").rlike(rf"(?iU)\b{SWAP[0]}s?\b"))
-    return own.select("row_id", X.swap_english(F.col("en"), F.lit(SWAP[0]), F.lit(SWAP[1])).alias("en"), F.col("en").alias("was")).where("en <> was").drop("was")
+    """A noun swapped in every sentence that has it, every other sentence in capitals: plurals keep a small s."""
+    own = _corpus(spark, d).select("row_id", F.when(F.col("row_id") % 2 == 1, F.translate("en", LOW, LOW.upper())).otherwise(F.col("en")).alias("en"))
+    return own.where(F.col("en").rlike(rf"(?iU)\b{SWAP[0]}s?\b")).select("row_id", X.swap_english(F.col("en"), F.lit(SWAP[0]), F.lit(SWAP[1])).alias("en"))
+
+
+AUGMENT = {"max_carriers": 40, "cross_per_term": 5, "bare_repeat": 6, "phrase_repeat": 8, "seed": 42}
+
+
+@query(rf"""WITH {SQL_HITS},
+forms AS (SELECT category, term, row_id, en FROM hits WHERE position(term IN en) > 0),
+drawn AS (SELECT *, row_number() OVER (PARTITION BY category, term ORDER BY md5(concat_ws('|', 42, category, term, row_id)), row_id) AS r FROM forms QUALIFY r <= 40),
+loans AS (SELECT replace(d.en, d.term, 'ཀ་' || o.term) AS dz, d.en AS was, {_sql_swap("d.en", "d.term", "o.term")} AS en FROM drawn d JOIN terms o ON o.category = d.category AND o.term <> d.term WHERE d.r <= 5),
+bare AS (SELECT DISTINCT 'ཀ་' || term AS dz, term FROM drawn),
+made AS (SELECT replace(en, term, 'ཀ་' || term) AS dz, en, false AS bare, 'corrected' AS origin FROM drawn UNION ALL SELECT dz, en, false, 'cross' FROM loans WHERE dz <> was AND en <> was
+UNION ALL SELECT dz, unnest([term, upper(term[1]) || lower(term[2:])]), true, 'bare' FROM bare, range(6) UNION ALL SELECT 'ཤིང་', 'tree', false, 'phrase' FROM range(8)),
+m AS (SELECT row_number() OVER () AS k, * FROM made),{_sql_normalized("m", "n")}
+SELECT CASE WHEN bare THEN m.dz ELSE n.dz END AS dz, CASE WHEN bare THEN m.en ELSE n.en END AS en, bare, origin FROM m JOIN n USING (k)""")
+def augmented_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Sampled carriers and their loans, bare terms and phrases, normalised."""
+    phrases = spark.createDataFrame([("ཤིང་", "tree")], "dz string, en string")
+    made = augment.augment(_corpus(spark, d), _full_terms(spark).withColumn("dz", F.concat(F.lit("ཀ་"), "term")), phrases, **AUGMENT)
+    return augment.normalize_augmented(made)
+
+
+@query(rf"""WITH {SQL_HITS}, n AS (SELECT t.category, t.term, count(h.term) AS carriers FROM terms t LEFT JOIN (SELECT * FROM hits WHERE position('The' IN en) > 0 OR position(term IN en) > 0) h USING (category, term) GROUP BY ALL)
+SELECT 'none' AS kind, * FROM (SELECT * FROM n WHERE carriers = 0 ORDER BY category, term LIMIT 10) UNION ALL SELECT 'richest', * FROM (SELECT * FROM n WHERE carriers > 0 ORDER BY carriers DESC, category DESC, term DESC LIMIT 5)""")
+def carrier_report(spark: SparkSession, d: str) -> DataFrame:
+    terms = _full_terms(spark)
+    return augment.carrier_report(augment.carrier_counts(terms, augment.carriers(_corpus(spark, d), terms)))
+
+
+@query(f"""WITH {SQL_SCORED}, k AS (SELECT category, term, chunk, c, row_number() OVER (PARTITION BY category, term ORDER BY lift DESC, coverage DESC, chunk DESC) AS rank FROM scored WHERE hits >= 5 AND c >= greatest(3, 0.15 * hits)),
+top AS (SELECT category, term, max(chunk) FILTER (rank = 1) AS best, string_agg(chunk || '(' || c || ')', ' | ' ORDER BY rank) AS cands FROM k WHERE rank <= 4 GROUP BY ALL)
+SELECT category || chr(9) || term || chr(9) || coalesce(best, '') || chr(9) || chr(9) || '# ' || hits || ' carriers | candidates: ' || coalesce(cands, '') AS value FROM n LEFT JOIN top USING (category, term) WHERE hits >= 5""")
+def review_sheet(spark: SparkSession, d: str) -> DataFrame:
+    """The draft's lines for review."""
+    return writers.review_lines(mining.draft_table(_corpus(spark, d), _terms(spark)))
 
 
 @query(f"""WITH {SQL_SENT}, t AS (SELECT doc_id, pos, list_filter(string_split(sentence, ' '), lambda x: x <> '') AS w FROM sent)
@@ -408,7 +567,7 @@ def extended_train(spark: SparkSession, d: str) -> DataFrame:
     return flows.with_extra(own, pairs).groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT doc_id, lang, CASE WHEN ('0x' || left(md5(concat_ws('|', 42, doc_id)), 15))::BIGINT % 1000000 < 100000 THEN 'test' ELSE 'train' END AS split FROM documents")
 def seeded_split(spark: SparkSession, d: str) -> DataFrame:
-    """A tenth by hash, in seeded order: draws that SQL engines do not share."""
+    """A tenth by hash."""
     return order.hash_split(_table(spark, d, "documents").select("doc_id", "lang"), 0.1, 42, "doc_id")

@@ -1,13 +1,16 @@
 """Relational operators on small relations; the catalog's plans against their SQL run in the driver."""
 
+import hashlib
 import math
 import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from corpusloom.operators import augment, boundary, dedup, filters, metrics, mining, order, synth
+from corpusloom.functions import text as X
+from corpusloom.operators import augment, boundary, dedup, filters, metrics, mining, order, report, synth
 from corpusloom.plans import catalog, flows, manifest
 from corpusloom.sources import readers, writers
 from corpusloom.streaming import stream
@@ -53,12 +56,56 @@ def test_boundaries(spark):
     assert (r.lines, r.boundaries, r.recovered, r.missed, r.exact) == (2, 3, 2, 1, 1)
 
 
+def test_positions_of_many_wide_rows(spark):
+    """Two million rows with columns that pruning could drop: every row its own place."""
+    df = spark.range(2_000_000).select((F.hash("id") % 1_000_003).alias("k"), "id", F.repeat(F.lit("x"), 20).alias("extra"))
+    got = order.positions(df, "k", "id")
+    r = got.agg(F.count_distinct("row_id").alias("n"), F.min("row_id").alias("lo"), F.max("row_id").alias("hi")).first()
+    assert (r.n, r.lo, r.hi) == (2_000_000, 0, 1_999_999)
+    w = got.withColumn("before", F.lag(F.struct("k", "id")).over(Window.partitionBy(F.floor(F.col("row_id") / 1000)).orderBy("row_id")))
+    assert w.where("before is not null and before >= struct(k, id)").isEmpty()
+
+
+def test_seeded_order_and_limits(spark):
+    df = spark.range(50).repartition(5)
+    draws = {r.id: r.draw for r in order.shuffled(df, 42, "id").collect()}
+    expected = sorted(range(50), key=lambda i: (hashlib.md5(f"42|{i}".encode()).hexdigest(), i))
+    assert sorted(draws, key=draws.get) == expected
+    assert [r.id for r in order.shuffled(df, 42, "id", limit=7).orderBy("draw").collect()] == expected[:7]
+    assert [r.id for r in order.first_rows(df, 3, "id").collect()] == [0, 1, 2]
+
+
+def term_hits_nested(corpus, terms):
+    """Term hits by their definition, a pattern for each pair."""
+    return corpus.join(F.broadcast(terms), F.expr("en rlike concat('(?iU)\\\\b\\\\Q', term, '\\\\Es?\\\\b')"))
+
+
+@pytest.mark.parametrize("most", [0, 20_000])
+def test_blank_terms_meet_nothing(spark, monkeypatch, most):
+    monkeypatch.setattr(mining, "MAX_KEYS", most)
+    corpus = spark.createDataFrame([(0, "a", "an apple -- here"), (1, "b", "")], P)
+    terms = spark.createDataFrame([("f", ""), ("f", "--"), ("f", None), ("f", "apple"), ("f", "apple")], "category string, term string")
+    assert [(r.term, r.row_id) for r in mining.term_hits(corpus, terms).collect()] == [("apple", 0)]
+    assert {(r.en, r.confidence, r.review) for r in mining.term_table(corpus, terms, min_carriers=1).collect()} >= {("apple", "high", ""), ("--", "MISSING", "YES - not in corpus")}
+
+
+def test_draft_and_review_sheet(spark, tmp_path):
+    rows = [(i, "ཀ་ ཁ་" if i < 5 else f"x{i}", "a cow" if i < 6 else "no one") for i in range(20)]
+    corpus, terms = spark.createDataFrame(rows, P), spark.createDataFrame([("f", "cow"), ("f", "one"), ("f", "yak")], "category string, term string")
+    draft = mining.draft_table(corpus, terms)
+    assert {tuple(r) for r in draft.collect()} == {("f", "cow", 6, "ཁ་", "ཁ་(5) | ཀ་(5)"), ("f", "one", 14, "", "")}
+    writers.write_review(draft, str(tmp_path / "r"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "r")).collect()]
+    assert lines[: len(writers.PREAMBLE)] == list(writers.PREAMBLE) and lines[-2] == "f\tcow\tཁ་\t\t# 6 carriers | candidates: ཁ་(5) | ཀ་(5)"
+    assert readers.read_tsv(spark, str(tmp_path / "r"), ["category", "en", "dz", "variants"], 3).count() == 2
+
+
 def test_hash_join_finds_what_the_pattern_finds(spark):
     rows = ["An apple tree", "apples, pears", "pineapple", "peas and pea", "green peas", "APPLE'S", ""]
     corpus = spark.createDataFrame([(i, t, t) for i, t in enumerate(rows)], P)
     terms = spark.createDataFrame([("f", "apple"), ("f", "pea"), ("f", "peas"), ("f", "apple tree"), ("f", "green pea")], "category string, term string")
     key = ["term", "row_id"]
-    assert {tuple(r) for r in mining.term_hits(corpus, terms).select(*key).collect()} == {tuple(r) for r in mining.term_hits_nested(corpus, terms).select(*key).collect()}
+    assert {tuple(r) for r in mining.term_hits(corpus, terms).select(*key).collect()} == {tuple(r) for r in term_hits_nested(corpus, terms).select(*key).collect()}
 
 
 def test_bands_and_gate(spark):
@@ -79,6 +126,10 @@ def test_augmentation(spark):
     terms = spark.createDataFrame([("f", "apple", "ཨེ་པེལ་", ["ཨེ་"]), ("f", "mango", "མང་", [])], "category string, term string, dz string, variants array<string>")
     rows = {tuple(r) for r in augment.augment(corpus, terms, cross_per_term=1).collect()}
     assert ("ཀ ཨེ་པེལ་", "an apple", False, "corrected") in rows and ("ཀ མང་", "a mango", False, "cross") in rows
+    counts = augment.carrier_counts(terms, augment.carriers(corpus, terms))
+    assert {(r.kind, r.term, r.carriers) for r in augment.carrier_report(counts).collect()} == {("none", "mango", 0), ("richest", "apple", 1)}
+    made = {r.counter: r.n for r in augment.build_counts(augment.augment(corpus, terms), counts).collect()}
+    assert made == {"corrected": 1, "bare": 12, "terms_with_carrier": 1, "terms_without_carrier": 1}
     assert ("ཨེ་པེལ་", "Apple", True, "bare") in rows and not any("མང་" == r[0] for r in rows)
 
 
@@ -92,11 +143,20 @@ def test_synthetic(spark):
 
 
 def test_metrics(spark):
-    df = spark.createDataFrame([("d", 0, "the cat sat on the mat", "the cat sat on a mat"), ("e", 1, "", "x"), ("f", 2, "same words here now", "same words here now")], "direction string, sent_id int, hyp string, ref string")
+    df = spark.createDataFrame([("d", "the cat sat on the mat", "the cat sat on a mat"), ("e", "", "x"), ("f", "same words here now", "same words here now"), ("g", None, None)], "direction string, hyp string, ref string")
     got = {r.direction: r.bleu for r in metrics.bleu(df).collect()}
     expected = 100 * math.exp((math.log(5 / 6) + math.log(3 / 5) + math.log(2 / 4) + math.log(1 / 3)) / 4)
-    assert got["d"] == pytest.approx(expected) and got["e"] == 0 and got["f"] == pytest.approx(100)
+    assert got["d"] == pytest.approx(expected) and got["e"] == got["g"] == 0 and got["f"] == pytest.approx(100)
     assert {r.direction: round(r.chrf) for r in metrics.chrf(df).collect()}["f"] == 100
+    assert metrics.tokens_13a("&quot;A-\nB&quot; costs 1,000.5 <skipped>&amp; more-2-3, x.") == ['"', "AB", '"', "costs", "1,000.5", "&", "more-2", "-", "3", ",", "x", "."]
+
+    def broken():
+        raise OSError("no model here")
+
+    r = metrics.scores(df.where("direction = 'f'"), tokenizers=[("syllables", broken), ("spaces", lambda: str.split)]).first()
+    assert tuple(r) == ("f", 100.0, 100.0, "spaces", 1) and metrics.pick_tokenizer([("x", broken)])[0] == "13a"
+    trip = spark.createDataFrame([("༡༠", "10"), ("༡", "2"), ("ཀ", "1")], "src string, hyp string")
+    assert tuple(metrics.digit_round_trip(trip).first()) == (2, 1)
 
 
 def test_files(spark, tmp_path):
@@ -107,6 +167,7 @@ def test_files(spark, tmp_path):
     assert readers.read_lines(spark, str(tmp_path / "none"), missing_ok=True).count() == 0
     terms = spark.createDataFrame([("fruits", "apple", "ཀ", "high")], "category string, en string, dz_preferred string, confidence string")
     writers.write_term_tables(terms, str(tmp_path / "terms"))
+    assert {(r.category, r.en, r.dz) for r in readers.read_term_dir(spark, str(tmp_path / "terms" / "category=fruits")).collect()} and spark.read.option("header", True).csv(str(tmp_path / "terms")).columns[:9] == list(readers.TERM_COLUMNS)
     with pytest.raises(ValueError):
         readers.range_splits(spark.range(3).withColumnRenamed("id", "row_id"), {"train": 2})
     with pytest.raises(RuntimeError):
@@ -114,7 +175,54 @@ def test_files(spark, tmp_path):
     out = flows.prepare({"train": spark.createDataFrame([(0, "ཀ", "a")], P), "test": spark.createDataFrame([(0, "ཁ", "b")], P)})
     writers.write_dataset(out, str(tmp_path / "d"))
     assert readers.read_split(spark, str(tmp_path / "d"), "test").count() == 2
-    assert manifest.write_manifest(out, str(tmp_path / "m"), {"seed": 42})["rows"] == {"train": 2, "test": 2}
+    own = manifest.write_manifest(out, str(tmp_path / "m"), {"seed": 42}, markers=["ནང", "ཀ"], shad_after_ga=False)
+    assert own["row_counts"] == {"train": 2, "test": 2} and own["preprocessing"]["boundary_marker_count"] == 2 and not own["preprocessing"]["shad_after_ga"]
+    assert "functions/text.py" in own["preprocessing"]["file_hashes"] and "shad after ga: False" in manifest.contract(own)
+    assert [r.value for r in spark.read.text(str(tmp_path / "m-markers")).collect()] == ["ཀ", "ནང"]
+    digest = manifest.file_digest(spark.read.format("binaryFile").load(str(tmp_path / "c.csv"))).first().sha256_16
+    assert digest == hashlib.sha256((tmp_path / "c.csv").read_bytes()).hexdigest()[:16]
+
+
+def test_term_files_are_read_by_their_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('en,dz_preferred,confidence,dz_variants\napple,ཀ,HIGH,"ཁ| ""ག"" |"\n,ཀ,,\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text('confidence,more,dz_preferred,en\nlow,x,ང,"big ""red"" pear"\n', encoding="utf-8")
+    (tmp_path / "c.csv").write_text("\ufeffen\r\nfig\r\n", encoding="utf-8")
+    got = {(r.category, r.en, r.dz, tuple(r.variants), r.confidence, r.file) for r in readers.read_term_dir(spark, str(tmp_path)).collect()}
+    assert got == {("a", "apple", "ཀ", ("ཁ", '"ག"'), "high", "a.csv"), ("b", 'big "red" pear', "ང", (), "low", "b.csv"), ("c", "fig", "", (), "", "c.csv")}
+
+
+def test_sources_choose_and_join(spark, tmp_path):
+    empty, full = spark.range(0), spark.range(2)
+    assert readers.first_source([("a", lambda: empty), ("b", lambda: full)])[0] == "b"
+    assert readers.first_source([("a", lambda: full), ("b", lambda: full)], forced="b")[0] == "b"
+    one = spark.createDataFrame([(1, "x")], "id int, text string")
+    with pytest.raises(ValueError):
+        readers.join_languages(one, one.withColumn("id", F.lit(2)), expect=True)
+    wide = spark.createDataFrame([("a", "b")], "l string, r string")
+    assert tuple(readers.paired(wide, "l", "r").first()) == ("a", "b")
+    assert readers.detect_sides(spark.createDataFrame([("a", "b")], "Source string, ENGLISH string")) == {"dz": "Source", "en": "ENGLISH"}
+    nested = spark.createDataFrame([(("ཀ", "a"), "train")], "translation struct<dz:string,en:string>, split string")
+    nested.write.parquet(str(tmp_path / "n"))
+    assert readers.read_pairs(spark, dataset=str(tmp_path / "n"), split="train").select("dz", "en").first() == ("ཀ", "a")
+    (tmp_path / "p.csv").write_text("dz,en\nཀ,a\n", encoding="utf-8")
+    assert readers.read_pairs(spark, csv_path=str(tmp_path / "p.csv")).count() == 1
+    with pytest.raises(ValueError):
+        readers.read_pairs(spark)
+    assert [tuple(r) for r in readers.literal_texts(spark, ["x", "y"]).collect()] == [(0, "x"), (1, "y")]
+
+
+def test_reports(spark):
+    rows = spark.createDataFrame([("ཀ་ཁ་ ག་",), ("ཀ་ ༡",), ("ཀ་",), ("ཀ་ ཁ་ ག་ ང་",)], "dz string")
+    r = report.audit(rows, honorifics=("ང",)).first()
+    assert (r["rows"], r.digit_share, r.max_words, r.honorific_share, r.p95_words) == (4, 0.25, 4, 0.25, 4) and r.spaces_per_syllable == pytest.approx(5 / 9)
+    p = report.sentence_profile(rows, "dz").first()
+    assert tuple(p) == (4, 1, 3, 4)
+    assert [r.dz for r in report.samples(rows, "dz", "dz", n=1, width=2).collect()] == ["ཀ་"]
+    pairs = spark.createDataFrame([(0, "༡", "2 cats"), (1, "ཀ", "cat")], P)
+    assert [r.row_id for r in synth.rejected_samples(synth.filter_synthetic(pairs)).collect()] == [0]
+    assert synth.digit_drop_rate(synth.filter_synthetic(pairs)).first().rate == 0.5
+    lint = augment.lint(spark.createDataFrame([(0, "f", "apple", "ཀ་"), (1, "f", "fig", "x")], "ord int, category string, en string, dz string"))
+    assert augment.readiness(lint).first().asDict() == {"rows": 2, "usable": 1, "skip": 0, "error": 1, "warn": 0, "ready": False}
 
 
 def test_stream(spark, tmp_path):
@@ -157,8 +265,15 @@ def test_synthetic_rows_cover_long_documents(spark, small_dir):
     got = catalog.QUERIES["synthetic_rows"](spark, small_dir).collect()
     kept = [r.text for r in texts_of(spark, small_dir).values() if (r.text or "").strip() and not brute_repeats(r.text)]
     assert any(len(t) >= 2000 for t in kept)
-    assert {(r.src, r.tgt) for r in got} >= {("<bt> " + " ".join(t.lower().split()), t) for t in kept}
-    assert len(got) == len(kept) + 4 and sum(r.tgt.startswith("aa word") for r in got) == 5  # its numbers vary, far into the text
+    tibetan = str.maketrans("0123456789", X.TIBETAN_DIGITS)
+    back = str.maketrans(X.TIBETAN_DIGITS, "0123456789")
+    plain = {("<bt> " + " ".join(t.translate(back).lower().split()), t.translate(tibetan)) for t in kept}
+    made = {(r.src, r.tgt) for r in got}
+    assert made >= plain and len(got) > len(kept) + 3
+    for src, tgt in made - plain:  # a variant: other numbers, the same on both sides, far into the text
+        assert re.findall(r"\d+", src) == re.findall(r"\d+", tgt.translate(back))
+        assert any(re.sub(r"\d+", "0", src) == re.sub(r"\d+", "0", s) and src != s for s, _ in plain)
+    assert sum(r.tgt.startswith("aa word") for r in got) == 5
 
 
 def brute_corpus(spark, d):
