@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.operators.filters import tag_synthetic, waterfall
+from corpusloom.operators.filters import drop_empty_arrays, tag_synthetic, waterfall
 from corpusloom.operators.order import first_rows
 
 
@@ -28,6 +28,26 @@ def translate(df: DataFrame, column: str, out: str, load: Callable[[], Callable[
     return df.select(*kept).mapInPandas(run, schema)
 
 
+def tokenize(df: DataFrame, load: Callable[[str, str], Callable[[Sequence[str], Sequence[str]], tuple[Sequence[list[int]], Sequence[list[int]]]]], max_length: int) -> DataFrame:
+    """Add ``input_ids`` and ``labels`` (arrays of int, ``max_length`` at most). ``load(src_lang, tgt_lang)`` gives a tokenizer of (sources, targets);
+    each task makes one for each direction it meets. Rows without ids go.
+    """
+    schema = df.drop("input_ids", "labels").withColumns({c: F.array().cast("array<int>") for c in ("input_ids", "labels")}).schema
+    names = df.drop("input_ids", "labels").columns
+
+    def run(frames):
+        made: dict[tuple[str, str], Callable] = {}
+        for frame in frames:
+            for way, own in frame.groupby(["src_lang", "tgt_lang"], sort=False):
+                if way not in made:
+                    made[way] = load(*way)
+                ids, labels = made[way](own["src"].tolist(), own["tgt"].tolist())
+                cut = [[list(x)[:max_length] for x in xs] for xs in (ids, labels)]
+                yield own.assign(input_ids=pd.Series(cut[0], index=own.index, dtype=object), labels=pd.Series(cut[1], index=own.index, dtype=object))
+
+    return drop_empty_arrays(df.select(*names).mapInPandas(run, schema), "input_ids")
+
+
 def synthetic_rules(dz: Column, en: Column, min_ratio: float = 0.25, max_ratio: float = 3.0, digits: bool = True) -> list[tuple[str, Column]]:
     """Why a generated pair goes, in order: empty, length ratio, repetition, contradicting numbers."""
     ratio = F.size(X.chunks(en)) / F.greatest(F.size(X.chunks(dz)), F.lit(1))

@@ -25,12 +25,12 @@ def prepare(splits: dict[str, DataFrame], markers: Sequence[str] = (), raw: bool
     return out
 
 
-def monolingual(docs: DataFrame, url: str = "url", score: str = "og_language_score", text: str = "og_full_text", key: str = "doc_id", **limits) -> DataFrame:
-    """Distinct sentences of the crawl documents that pass the waterfall, the first occurrence of each."""
+def monolingual(docs: DataFrame, url: str = "url", score: str = "og_language_score", text: str = "og_full_text", key: str = "doc_id", bounds: dict | None = None, **limits) -> DataFrame:
+    """Distinct sentences of the crawl documents that pass the waterfall, the first occurrence of each within ``bounds``."""
     rules = filters.crawl_rules(F.col(url), F.col(score), F.col(text), **limits)
     kept = filters.waterfall(docs, rules).where("reject_reason is null")
     own = filters.sentences(kept.select(F.col(key).alias("doc"), nfc(F.col(text)).alias("text")), "text")
-    bounded = filters.within_bounds(own).withColumn("at", F.struct("doc", "pos"))
+    bounded = filters.within_bounds(own, **(bounds or {})).withColumn("at", F.struct("doc", "pos"))
     return first_of(bounded.select("sentence", "at"), ["sentence"], "at").select("sentence", "at.doc", "at.pos")
 
 
