@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.sources.readers import spread
+from corpusloom.sources.scratch import cut, scratch, shared_dir  # noqa: F401 - what the operators use
 
 #: Rows that a worker turns into Python objects, and sends back, at a time: bounds its memory whatever the batch.
 SLICE = 1024
@@ -27,24 +27,23 @@ def held(key: object, build: Callable[[], object]) -> object:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table ``name`` under ``sf_dir``, through Spark's own reader only."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The table ``name`` under ``sf_dir``, through Spark's own reader only; a small one is dealt over the cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = os.environ.get("CORPUSLOOM_CHECKPOINT_DIR", "/tmp/checkpoints/corpusloom")
-    return where.rstrip("/")
+#: Parts that a hot key is dealt into.
+SALTS = 64
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends in replicated files, not in executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def salted_join(big: DataFrame, small: DataFrame, key: str, by: Column, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small`` (a row for each key) on ``key``, where one key may hold a large part of ``big``.
+
+    Rows of ``big`` are dealt into ``SALTS`` parts of their key by the hash of ``by``. The parts that occur, at most SALTS
+    for each key, fetch the key's row first; then the join is on key and part, so no task meets a whole hot key.
+    """
+    salted = big.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    parts = salted.select(key, "__salt").distinct().join(small, key)
+    return salted.join(parts, [key, "__salt"], how).drop("__salt")
 
 
 def without(df: DataFrame, names: Sequence[str]) -> list[str]:

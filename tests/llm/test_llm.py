@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from corpusloom.llm import bpe, chat, decontam, kdshard, langid, mainext, pii, quality, queries, secrets, simhash
+from corpusloom.llm import bpe, chat, decontam, kdshard, langid, mainext, pii, quality, queries, resemblance, secrets, simhash
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -167,6 +167,51 @@ def test_simhash_components_match_brute_force(spark, docs):
     assert [roots.get(i, i) for i in range(len(codes))] == [find(i) for i in range(len(codes))]
 
 
+def near_codes(rng, n, around, flips):
+    """Codes a few bits from each other: one hot shard at every choice of blocks."""
+    out = set()
+    while len(out) < n:
+        c = around
+        for b in rng.sample(range(64), rng.randint(0, flips)):
+            c ^= 1 << b
+        out.add(c)
+    return sorted(out)
+
+
+def test_hot_shards_are_split_without_losing_links(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MOST", 8)
+    rng = random.Random(8)
+    codes = near_codes(rng, 150, rng.getrandbits(64), 9) + [rng.getrandbits(64) for _ in range(50)]
+    signed = [c - (1 << 64) if c >> 63 else c for c in codes]
+    frame = spark.createDataFrame([(c, c) for c in signed], "code long, node long")
+    shards = simhash.dealt(frame, 4).collect()
+    held = {}
+    for r in shards:
+        held.setdefault(r.shard, set()).add(r.code % (1 << 64))
+    together = {frozenset((a, b)) for own in held.values() for a in own for b in own if a < b}
+    assert {frozenset((a, b)) for a in codes for b in codes if a < b and (a ^ b).bit_count() <= 4} <= together
+    assert max(map(len, held.values())) < 150
+    roots = {r.node: r.root for r in simhash.components(simhash.links(frame)).collect()}
+    parent = {c: c for c in codes}
+    for _ in codes:
+        for a in codes:
+            parent[a] = min(parent[b] for b in codes if (a ^ b).bit_count() <= 4)
+    assert len({roots.get(c, c) for c in signed}) == len(set(parent.values()))
+
+
+def test_components_of_hubs_chains_and_rings(spark):
+    edges = [(i, 0) for i in range(1, 400)] + [(i, i - 1) for i in range(501, 560)] + [(700 + (i + 1) % 9, 700 + i) for i in range(9)] + [(900, 399)]
+    frame = spark.createDataFrame([(max(e), min(e)) for e in edges], "hi long, lo long")
+    got = {r.node: r.root for r in simhash.components(frame).collect()}
+    assert got == {**{i: 0 for i in [*range(1, 400), 900]}, **{i: 500 for i in range(501, 560)}, **{i: 700 for i in range(701, 709)}}
+
+
+def test_near_duplicates_of_string_keys_ties_and_repeats(spark):
+    rows = [("b", "one two three four five"), ("a", "One two  three four FIVE"), ("a", "one two three four five"), ("c", None), ("d", ""), (None, "zebra quilt"), ("e", "x" * 3_000_000)]
+    got = Counter((r.k, r.component) for r in simhash.near_duplicates(spark.createDataFrame(rows, "k string, t string"), "k", "t").collect())
+    assert got == Counter({("b", "a"): 1, ("a", "a"): 2, ("c", "c"): 1, ("d", "c"): 1, (None, None): 1, ("e", "e"): 1})
+
+
 def test_op4_is_whole(spark, docs):
     got = {r.doc_id: r for r in queries.op4_simhash_bktree(spark, SF).collect()}
     fp = {d: brute_fingerprint(t) for d, t in docs.items()}
@@ -349,6 +394,41 @@ def test_near_dedup_stage_matches_brute_force(spark, docs):
     assert got == brute_near_dedup(rows) and sum(got.values()) < len(rows) - 50
 
 
+def test_set_trees_are_exact():
+    rng = random.Random(21)
+    sets = []
+    for _ in range(12):
+        base = rng.sample(range(3000), rng.randint(1, 60))
+        for _ in range(rng.randint(1, 8)):
+            own = set(base) - set(rng.sample(base, min(len(base) - 1, rng.randint(0, 6)))) | set(rng.sample(range(3000), rng.randint(0, 6)))
+            sets.append(np.array(sorted(own), dtype=np.uint64))
+    sets += [np.empty(0, np.uint64)] * 2
+    rng.shuffle(sets)
+    lead = list(range(len(sets)))
+    for _ in sets:
+        for i, a in enumerate(map(set, sets)):
+            lead[i] = min(lead[j] for j, b in enumerate(map(set, sets)) if (5 * len(a & b) >= 4 * len(a | b)))
+    assert resemblance.groups(sets) == lead and len(set(lead)) < len(sets) - 10
+
+
+def test_large_families_in_blocks_match_brute_force(spark):
+    """One family of near copies around a text, with members that only some copies resemble, at a block size of a few texts."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    base = [word() for _ in range(100)]
+    rows = [(0, " ".join(base))]
+    for d in range(1, 60):
+        own = list(base) if d < 40 else rows[d - 30][1].split()
+        for at in rng.sample(range(5, 95), rng.choice((1, 2, 2, 3))):
+            own[at] = word()
+        rows.append((d, " ".join(own)))
+    rows += [(2, rows[2][1]), (3, "another text of the same id, far from all others of them"), (None, rows[0][1])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for family in (400, 2500, 10**6):
+        got = Counter((r.doc_id, r.text) for r in resemblance.representatives(frame, "doc_id", "text", family=family).collect())
+        assert got == brute_near_dedup(rows)
+
+
 def test_language_scores_every_letter_of_a_run_without_spaces():
     rng = random.Random(4)
     word = lambda letters: "".join(rng.choices(letters, k=6))
