@@ -1,27 +1,34 @@
 """Secret scans over an incremental blob ledger (operator 8).
 
 Every version of a path is content-addressed: its blob is the SHA-256 of its text. The
-ledger has one row for each blob and rule version already scanned, with the findings. A run
-scans each blob that the ledger lacks for this rule version once, however many paths hold
-it, adds it to the ledger, and joins findings back to all paths.
+ledger has one row for each blob and rule version already scanned, with the findings, and
+stays in a folder of its own between runs. A run addresses all versions, scans each blob that
+the ledger lacks for this rule version once, however many paths hold it, appends it to the
+ledger, and joins findings back to all paths. Texts that were scanned before are neither
+shuffled nor scanned again. The ledger holds spans, never texts.
 
 Spans are code points, end exclusive. Base kinds are kept as they are; ``EXTRA`` adds
-further kinds. Defined results: null text is the empty blob; repeated paths repeat.
+further kinds. Defined results: null text is the empty blob; repeated paths repeat (each row
+is a version of its path).
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import uuid
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.base import append_arrow, cut, quoted, texts
+from corpusloom.llm.base import append_arrow, cut, quoted, salted_join, texts
 
-#: Name of the rules below; a changed rule needs a new name, and old blobs are then scanned again.
-VERSION = "2026-11"
+#: Name of the rules: a digest of this module. Where it changed, old blobs are scanned again.
+VERSION = hashlib.sha256(Path(__file__).read_bytes()).hexdigest()[:12]
+LEDGER = T.StructType([T.StructField("blob", T.StringType()), T.StructField("version", T.StringType()), T.StructField("findings", T.ArrayType(T.StringType()))])
 ASSIGN = re.compile(r"""(?ai:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -54,24 +61,43 @@ def scan_text(text: str | None) -> list[str]:
     return [f"{kind}:{a}:{b}" for a, _, b, kind in sorted(found)]
 
 
-def scan_versions(df: DataFrame, path: str, text: str, ledger: DataFrame | None = None, version: str = VERSION) -> tuple[DataFrame, DataFrame]:
-    """Findings of every path, and the ledger ``(blob, version, findings)`` with this run's blobs added.
+def read_ledger(spark: SparkSession, home: str) -> DataFrame | None:
+    """``(blob, version, findings)`` of all runs that ended; None before the first."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(home)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.schema(LEDGER).option("recursiveFileLookup", True).parquet(home)
 
-    Shuffles checksums, and each unseen text once (copies are merged before the shuffle).
+
+def scan_versions(df: DataFrame, path: str, text: str, home: str | None = None, version: str = VERSION) -> tuple[DataFrame, DataFrame]:
+    """Findings of every row, and this run's new entries of the ledger in the folder ``home`` (without one, all blobs are new).
+
+    ``(path, blob, findings)`` and ``(blob, version, findings)``. Shuffles checksums, and each unseen text once
+    (copies are merged before the shuffle).
     """
+    spark = df.sparkSession
     blob = F.sha2(F.coalesce(quoted(text), F.lit("")).cast("binary"), 256)
     paths = df.select(quoted(path).alias("path"), blob.alias("blob"))
     fresh = df.select(blob.alias("blob"), F.coalesce(quoted(text), F.lit("")).alias("text"))
+    ledger = read_ledger(spark, home) if home else None
     if ledger is not None:
-        fresh = fresh.join(ledger.where(F.col("version") == version).select("blob"), "blob", "left_anti")
+        ledger = ledger.where(F.col("version") == version).dropDuplicates(["blob"])
+        unseen = cut(paths.select("blob").distinct().join(ledger.select("blob"), "blob", "left_anti"))
+        fresh = fresh.join(unseen, "blob", "left_semi")  # Spark broadcasts the unseen blobs where their measured size allows
     fresh = fresh.dropDuplicates(["blob"])
 
     def make():
         return lambda column: [pa.array([scan_text(t) for t in texts(column)], pa.list_(pa.string()))]
 
     scanned = append_arrow(fresh, ["text"], make, [("findings", T.ArrayType(T.StringType()), pa.list_(pa.string()))], keep=["blob"])
-    entries = cut(scanned.select("blob", F.lit(version).alias("version"), "findings"))
-    whole = entries if ledger is None else ledger.select("blob", "version", "findings").unionByName(entries)
-    mine = whole.where(F.col("version") == version).select("blob", "findings")
-    out = paths.join(mine.where(F.size("findings") > 0), "blob", "left")
-    return out.select(F.col("path").alias(path), "blob", F.coalesce("findings", F.array().cast("array<string>")).alias("findings")), whole
+    own = scanned.select("blob", F.lit(version).alias("version"), "findings")
+    if home:
+        part = f"{home}/run-{uuid.uuid4().hex}"
+        own.write.parquet(part)
+        entries = spark.read.schema(LEDGER).parquet(part)
+    else:
+        entries = cut(own)
+    known = entries if ledger is None else entries.unionByName(ledger)
+    found = known.where(F.size("findings") > 0).select("blob", "findings")
+    out = salted_join(paths, found, "blob", F.col("path"), "left")
+    return out.select(F.col("path").alias(path), "blob", F.coalesce("findings", F.array().cast("array<string>")).alias("findings")), entries
