@@ -13,7 +13,7 @@ separates bad from good is taken. A stratum without enough labels rejects nothin
 Counts cover all labelled rows and are aggregated before they reach the driver: at most
 strata x rules x (GRID + 1) x 2 numbers.
 
-Defined results: null texts have no words; null strata are one stratum; a document labelled
+Defined results: null texts have no words; null strata are one stratum, apart from the empty name; a document labelled
 more than once counts as good only if every label says so; null labels are ignored.
 """
 
@@ -91,14 +91,31 @@ def scores() -> dict[str, Column]:
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(X <= k) for X binomial(n, p), summed exactly in logarithms."""
+    """P(X <= k) for X binomial(n, p): the regularised incomplete beta function of 1 - p at n - k and k + 1, by its continued fraction."""
     if p <= 0 or k >= n:
         return 1.0
-    if p >= 1:
+    if p >= 1 or k < 0:
         return 0.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
+    a, b, x = n - k, k + 1, 1 - p
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log1p(-p) + b * math.log(p))
+    if x < (a + 1) / (a + b + 2):
+        return min(1.0, front * _fraction(a, b, x) / a)
+    return max(0.0, 1.0 - front * _fraction(b, a, p) / b)
+
+
+def _fraction(a: float, b: float, x: float) -> float:
+    """The continued fraction of the incomplete beta function (Lentz's evaluation); it needs some sqrt(max(a, b)) steps."""
+    tiny = 1e-300
+    c, d = 1.0, 1.0 / ((1.0 - (a + b) * x / (a + 1)) or tiny)
+    out, m = d, 1
+    while True:
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 / ((1.0 + top * d) or tiny)
+            c = (1.0 + top / c) or tiny
+            out *= c * d
+        if abs(c * d - 1.0) < 1e-15 or m > 100_000:
+            return out
+        m += 1
 
 
 def upper_bound(k: int, n: int, level: float) -> float:
@@ -106,7 +123,7 @@ def upper_bound(k: int, n: int, level: float) -> float:
     if k >= n:
         return 1.0
     low, high = k / n, 1.0
-    for _ in range(60):
+    for _ in range(50):
         mid = (low + high) / 2
         low, high = (low, mid) if binomial_tail(k, n, mid) <= level else (mid, high)
     return high
@@ -147,12 +164,17 @@ def choose(counts: dict[tuple[str, str], dict[tuple[int, bool], int]], rate: flo
     return out
 
 
+def _stratum(name: str) -> Column:
+    """The stratum's name after a mark; a null has none, so that it isn't the empty name."""
+    return F.coalesce(F.concat(F.lit("="), quoted(name).cast("string")), F.lit(""))
+
+
 def calibrate(rows: DataFrame, labels: DataFrame, key: str, stratum: str, quality: str = "quality", rate: float = RATE, level: float = LEVEL) -> list[Cutoff]:
     """Cutoffs from measured ``rows`` and ``labels`` (key, quality 0 or 1)."""
     known = labels.where(quoted(key).isNotNull() & quoted(quality).isNotNull()).groupBy(quoted(key).alias("__key")).agg(F.min(quality).alias("__good"))
     own = rows.join(known, quoted(key) == F.col("__key"))
     bins = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.floor(s * GRID).cast("int").alias("bin")) for r, s in scores().items()]))
-    got = own.select(F.coalesce(quoted(stratum), F.lit("")).alias("stratum"), (F.col("__good") == 1).alias("good"), bins.alias("s"))
+    got = own.select(_stratum(stratum).alias("stratum"), (F.col("__good") == 1).alias("good"), bins.alias("s"))
     counts: dict[tuple[str, str], dict[tuple[int, bool], int]] = {}
     for st, rule, b, good, n in got.groupBy("stratum", "s.rule", "s.bin", "good").count().collect():
         counts.setdefault((st, rule), {})[(b, good)] = n
@@ -162,7 +184,7 @@ def calibrate(rows: DataFrame, labels: DataFrame, key: str, stratum: str, qualit
 def verdict(cutoffs: list[Cutoff], stratum: str) -> Column:
     """True where no rule rejects the row."""
     rejected = F.lit(False)
-    own, name = scores(), F.coalesce(quoted(stratum), F.lit(""))
+    own, name = scores(), _stratum(stratum)
     for c in cutoffs:
         rejected = rejected | ((name == c.stratum) & (F.floor(own[c.rule] * GRID) >= round(c.cutoff * GRID)))
     return ~rejected
