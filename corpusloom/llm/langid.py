@@ -5,13 +5,14 @@ word, learned transitions tie neighbours together, and forward-backward gives ev
 posterior, so that code-switched text is labelled word by word. A document's language is
 the one with the most posterior mass, weighted by letters; the score is its share.
 
-The model is fitted on the driver from a bounded sample: at most ``PER_LANG`` labelled
-documents for each language, one passage of at most ``PASSAGE`` characters from each, chosen by hash.
-Passages of different languages are spliced, so transitions see code-switching. Prediction
+The model is fitted on the driver from a bounded sample of labelled rows: at most ``PER_LANG``
+documents of each of the ``LANGS`` most frequent languages, chosen by hash, whole texts.
+Runs of words of different languages are spliced, so transitions see code-switching. Prediction
 reads whole texts, all of them.
 
 Defined results: null text, or text without a letter: ``und``, score 0. Words without a
 letter carry no evidence. An empty training set learns no language: everything is ``und``.
+Rows with equal texts get equal results.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from corpusloom.llm.base import append_arrow, held, quoted
 
-PER_LANG = 250
-PASSAGE = 1000
+PER_LANG = 120
+LANGS = 256
 DIMS = 1 << 15
 LEXICON = 400
 UND = "und"
@@ -52,8 +54,10 @@ def tokens_of(text: str) -> list[str]:
         return tokens
     out = []
     for t in tokens:
-        if len(t) <= LONGEST or len(own := clean(t)) <= LONGEST:
+        if len(t) <= LONGEST:
             out.append(t)
+        elif len(own := clean(t)) <= LONGEST:
+            out.append(own or "-")  # what it has beside letters is no evidence, and may be long
         else:
             out += [own[i : i + LONGEST] for i in range(0, len(own), LONGEST)]
     return out
@@ -213,27 +217,18 @@ def fit(rows: list[tuple[str, str]], steps: int = 40, rate: float = 0.5, decay:
     return crf
 
 
-def training_rows(df: DataFrame, text: str, lang: str, key: str, per_lang: int = PER_LANG, passage: int = PASSAGE) -> list[tuple[str, str]]:
-    """The bounded sample: by hash of the key, ``per_lang`` rows of each language, a passage of each at a hashed place."""
+def training_rows(df: DataFrame, text: str, lang: str, key: str, per_lang: int = PER_LANG, langs: int = LANGS) -> list[tuple[str, str]]:
+    """The bounded sample, by hash of the key: ``per_lang`` rows of each of the ``langs`` most frequent languages, whole texts."""
     own = df.where(quoted(lang).isNotNull() & quoted(text).isNotNull()).select(
         quoted(lang).alias("lang"), quoted(text).alias("text"), F.xxhash64(quoted(key).cast("string"), F.lit(7)).alias("h")
     )
-    counts = {r[0]: r[1] for r in own.groupBy("lang").count().collect()}
-    rows: list[tuple[str, str]] = []
-    if not counts:
-        return rows
-    room = F.greatest(F.length("text") - passage, F.lit(0))
-    part = own.withColumn("text", F.substring("text", (F.pmod(F.shiftrightunsigned("h", 20), room + 1) + 1).cast("int"), F.lit(passage)))
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, 1.5 * per_lang / n))).otherwise(share)
-    near = part.where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
-    taken: dict[str, int] = {}
-    for t, name in [(r[1], r[0]) for r in near.orderBy("h", "text").limit(2 * per_lang * len(counts)).collect()]:
-        if taken.get(name, 0) < per_lang:
-            taken[name] = taken.get(name, 0) + 1
-            rows.append((t, name))
-    return rows
+    counts = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs)
+    # A first draw of half as many again by hash, so that only it is ranked.
+    share = F.least(F.lit(1.0), F.lit(1.5 * per_lang) / F.col("n"))
+    near = own.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
+    w = Window.partitionBy("lang").orderBy("h", F.xxhash64("text"))
+    drawn = near.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= per_lang)
+    return [(r["text"], r["lang"]) for r in drawn.select("text", "lang", "__rank").orderBy("lang", "__rank").collect()]
 
 
 class Tagger:
