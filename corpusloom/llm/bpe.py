@@ -29,8 +29,8 @@ from corpusloom.llm.base import append_arrow, held, texts
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: Where splitting at single spaces could cut a run of white space.
 RUNS = regex.compile(r"[\p{White_Space}]{2}|\p{White_Space}\Z")
-#: Entries of a worker's cache before it starts anew; bounds memory, never results.
-CACHE = 150_000
+#: Entries of a worker's cache before it starts anew, and letters of an entry at most; they bound memory, never results.
+CACHE, CACHED = 150_000, 64
 _MARKS = frozenset(".,!?;:")
 
 
@@ -139,6 +139,9 @@ class Bpe:
                 token = self.shorter[token]
 
     def pretoken(self, word: str) -> bytes:
+        if len(word) > CACHED:
+            own = self.encode_pretoken(word)
+            return struct.pack(f"<{len(own)}I", *own)
         ids = self.pretokens.get(word)
         if ids is None:
             if len(self.pretokens) > CACHE:
@@ -199,7 +202,8 @@ class _Pieces(dict):
             ids = self.bpe.pretoken(" " + piece[:-1]) + self.bpe.pretoken(piece[-1])
         else:
             ids = self.bpe.encode_plain(" " + piece)
-        self[piece] = ids
+        if len(piece) <= CACHED:
+            self[piece] = ids
         return ids
 
 
