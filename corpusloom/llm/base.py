@@ -69,10 +69,12 @@ def append_arrow(
     make: Callable[[], Callable[..., list[pa.Array]]],
     fields: Sequence[tuple[str, T.DataType, pa.DataType]],
     keep: Sequence[str] | None = None,
+    gather: int = 0,
 ) -> DataFrame:
     """Add columns that ``make()(input arrays)`` gives batch by batch; no shuffle, one Arrow pass.
 
-    Outputs replace input columns of the same name. ``keep`` limits what is passed through.
+    Outputs replace input columns of the same name. ``keep`` limits what is passed through. With ``gather``, work gets rows
+    of about so many bytes at once instead of ``SLICE`` rows.
     """
     kept = [c for c in without(df, [f[0] for f in fields]) if keep is None or c in keep]
     given = [c for c in inputs if c not in kept]
@@ -83,9 +85,10 @@ def append_arrow(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            for i in range(0, batch.num_rows, SLICE):
-                part = batch.slice(i, SLICE)
+        for batch in _gathered(batches, gather) if gather else batches:
+            step = batch.num_rows if gather else SLICE
+            for i in range(0, batch.num_rows, step or 1):
+                part = batch.slice(i, step)
                 out = work(*[part.column(j) for j in at])
                 cols = [a if isinstance(a, pa.Array) else pa.array(a, type=k) for a, k in zip(out, kinds)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *cols], names=names)
@@ -95,6 +98,21 @@ def append_arrow(
     return rows.mapInArrow(run, schema)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        for i in range(0, batch.num_rows, SLICE):
+            part = batch.slice(i, SLICE)
+            held.append(part)
+            n += part.nbytes
+            if n >= size:
+                yield pa.concat_batches(held)
+                held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def texts(column: pa.Array, step: int = 256) -> Iterator[str | None]:
     """The strings of a column, a few at a time, so that a batch is never held twice as Python objects."""
     for i in range(0, len(column), step):

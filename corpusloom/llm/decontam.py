@@ -4,7 +4,8 @@ The test items' normalised words make one generalised suffix automaton. A docume
 stream through it and the longest matching length is tracked; wherever it reaches a window
 (``window`` words, or a whole shorter item) the words of that window are hit. Documents are
 read once, with no shuffle: the automaton is broadcast. Its size is checked: items beyond
-``SHARD_WORDS`` words go to further automata, and each batch passes through all of them.
+``SHARD_WORDS`` words go to further automata, which the driver sends one by one and a worker
+holds one by one, each for ``GATHER`` bytes of documents at a time.
 
 Defined results: a null text has no words; an item without words matches nothing; repeated
 items count by their ids. Null item ids are left out of the lists of items.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -26,6 +28,8 @@ from corpusloom.llm.base import append_arrow, aside, held, quoted
 
 #: Words of items in one automaton at most: bounds what is broadcast and held by a worker at once.
 SHARD_WORDS = 150_000
+#: Bytes of documents that pass through several automata in turn.
+GATHER = 32 << 20
 #: ASCII: letters to lower case, digits as they are, all else to a space; bytes of other letters stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -109,7 +113,7 @@ class SuffixAutomaton:
         return new
 
     def match(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str], int]:
-        """Hit spans (word positions, end exclusive, by end), items found, longest match."""
+        """Hit spans (word positions, end exclusive, by end), items found, longest match of a window or more (else 0)."""
         n = len(words)
         if n < self.least or not self.number:
             return [], set(), 0
@@ -148,13 +152,13 @@ class SuffixAutomaton:
                 continue
             v = nxt[v][w]
             l += 1
-            longest = max(longest, l)
             end = base + i + 1
             for size, name in self.shorts[v]:
                 if size <= l:
                     found.add(name)
                     spans.append((end - size, end))
             if l >= window:
+                longest = max(longest, l)
                 found |= self.owners.get(self.at_window[v], set())
                 spans.append((end - window, end))
         return longest
@@ -186,22 +190,27 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def _automaton(name: str, shared, window: int) -> SuffixAutomaton:
-    return held(("automaton", name, window), lambda: SuffixAutomaton(shared.value, window))
+    def build() -> SuffixAutomaton:
+        own = SuffixAutomaton([(key, words_of(text)) for key, text in shared.value], window)
+        shared.__dict__.pop("_value", None)  # the items' texts aren't needed any more
+        return own
 
+    return held(("automaton", name, window), build)
 
-def item_shards(items: DataFrame, key: str, text: str, most: int = SHARD_WORDS) -> list[list[tuple[str, list[bytes]]]]:
-    """The items' words, streamed to the driver, in shards of ``most`` words (an item is never cut)."""
-    shards: list[list] = [[]]
+
+def item_shards(items: DataFrame, key: str, text: str, most: int = SHARD_WORDS) -> Iterator[list[tuple[str, str]]]:
+    """The items, streamed to the driver, in shards of ``most`` words (an item is never cut): one shard is held at a time."""
+    shard: list[tuple[str, str]] = []
     size = 0
     rows = items.where(quoted(text).isNotNull()).select(quoted(key).cast("string"), quoted(text))
     for name, own in rows.toLocalIterator():
-        words = words_of(own)
-        if size and size + len(words) > most:
-            shards.append([])
-            size = 0
-        shards[-1].append((name, words))
-        size += len(words)
-    return shards
+        words = len(words_of(own))
+        if size and size + words > most:
+            yield shard
+            shard, size = [], 0
+        shard.append((name, own))
+        size += words
+    yield shard
 
 
 def contamination(
@@ -246,7 +255,7 @@ def contamination(
     ]
     if clean_from is not None:
         fields.append(("cleaned", T.StringType(), pa.string()))
-    return append_arrow(df, [text], make, fields, keep)
+    return append_arrow(df, [text], make, fields, keep, GATHER if len(shards) > 1 else 0)
 
 
 def decontaminate(df: DataFrame, items: DataFrame, text: str = "text", window: int = 8, max_coverage: float = 0.5, **names: str) -> DataFrame:
