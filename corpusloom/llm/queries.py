@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe, chat, decontam, kdshard, langid, mainext, pii, quality, secrets, simhash
-from corpusloom.llm.base import cut, table
+from corpusloom.llm.base import cut, shared_dir, table
 
 #: The pseudonym key of the registered query; a deployment passes its own.
 DEMO_KEY = "corpusloom-demonstration-key"
@@ -22,7 +22,12 @@ def op1_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.parse(table(spark, sf_dir, "conversations"))
+    """Transcripts of all conversations. Of those whose number's crc32 modulo 4 is 2 the stored roles are hidden; they tell how many the model recovers."""
+    hidden = F.coalesce(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower("role").alias("told"), F.when(~hidden, F.col("role")).alias("role"), "text")
+    told = F.when((F.col("seg") == 0) & F.col("told").isin(*chat.ROLES), F.col("told"))
+    out = chat.transcripts(chat.parse(turns, keep="told"), n_told=told.isNotNull().cast("int"), n_right=(told == F.col("role_pred")).cast("int"))
+    return out.withColumn("held_out", hidden)
 
 
 def op3_quality_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +65,7 @@ def op7_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found, _ = secrets.scan_versions(docs, "doc_id", "text")
+    found, _ = secrets.scan_versions(docs, "doc_id", "text", f"{shared_dir(spark)}/secret-ledger")
 
     def count(kind: str):
         return F.size(F.filter("findings", lambda f: f.startswith(kind + ":"))).cast("bigint").alias(f"n_{kind}")
