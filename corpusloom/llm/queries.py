@@ -108,6 +108,59 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(pos.n_hit, 0
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+#: The numbers of a text, and the rules' cutoffs by the exact binomial tail: P(X <= k) summed term by term in logarithms.
+OP3_SQL = rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, row_number() OVER () AS k, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT k, i, count(*) OVER (PARTITION BY k, a, b, c) AS n FROM (SELECT k, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM w))),
+r AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY k),
+m AS (SELECT w.k, doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+(len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper,
+length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS n_letters, length(t) - length(replace(t, '!', '')) AS n_marks FROM w LEFT JOIN r USING (k)),
+s AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce('=' || lang, '') AS stratum, unnest([
+struct_pack(rule := 'symbols', v := n_symbols::DOUBLE / nullif(word_chars, 0)), struct_pack(rule := 'capitals', v := n_upper::DOUBLE / nullif(n_letters, 0)),
+struct_pack(rule := 'marks', v := n_marks::DOUBLE / nullif(n_words, 0)), struct_pack(rule := 'dup_lines', v := n_dup_lines::DOUBLE / nullif(n_lines, 0))]) AS x FROM m),
+b AS (SELECT *, x.rule AS rule, floor(least(coalesce(x.v, 0), 1) * {quality.GRID})::INT AS bin FROM s),
+q AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+c AS (SELECT stratum, rule, bin, count(*) FILTER (good) AS g, count(*) FILTER (NOT good) AS b FROM b JOIN q USING (doc_id) GROUP BY ALL),
+f AS (SELECT stratum, rule, sum(g) AS goods, sum(b) AS bads, {quality.LEVEL} / count(*) OVER () AS alpha FROM c GROUP BY stratum, rule),
+u AS (SELECT f.*, cut, coalesce(sum(c.g), 0)::BIGINT AS kg, coalesce(sum(c.b), 0)::BIGINT AS kb FROM f, range(1, {quality.GRID + 1}) t(cut) LEFT JOIN c ON c.stratum = f.stratum AND c.rule = f.rule AND c.bin >= t.cut GROUP BY ALL),
+p AS (SELECT *, goods = 0 OR kg > {quality.RATE / 4} * goods OR list_sum(list_transform(range(0, kg + 1), lambda i: exp(lgamma(goods + 1) - lgamma(i + 1) - CASE WHEN goods - i = 0 THEN 0 ELSE lgamma(goods - i + 1) END
++ i * ln({quality.RATE / 4}) + (goods - i) * ln(1 - {quality.RATE / 4})))) > alpha AS fails, kb / greatest(bads, 1) - kg / nullif(goods, 0) AS gain FROM u),
+o AS (SELECT *, bool_or(fails) OVER (PARTITION BY stratum, rule ORDER BY cut DESC) AS stopped FROM p),
+cutoff AS (SELECT stratum, rule, arg_max(cut, struct_pack(gain := gain, cut := cut)) AS cut FROM o WHERE NOT stopped AND gain > 0 GROUP BY stratum, rule),
+gone AS (SELECT DISTINCT b.k FROM b JOIN cutoff USING (stratum, rule) WHERE b.bin >= cutoff.cut)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND gone.k IS NULL AS kept
+FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m) LEFT JOIN gone USING (k)
+"""
+
+
+def _any_case(words: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in words)
+
+
+#: Each rule's pattern, the group whose length counts (0: all), and the length it needs.
+OP8_RULES = {
+    "assign": (_any_case("(password|passwd|secret|token|api_?key)") + r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    "access": ("AKIA[A-Z0-9]+", 0, 18),
+    "hex": ("[0-9a-f]+", 0, 16),
+    **{kind: (rule.pattern, 0, 1) for kind, (_, rule) in secrets.EXTRA.items()},
+}
+#: Matches are marked by two noncharacters; the text is cut there and lengths are summed.
+OP8_SQL = (
+    "WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),\nmarked AS ("
+    + " UNION ALL ".join(f"SELECT k, {n} AS ord, '{kind}' AS kind, string_split(regexp_replace(t, '{p}', '﷐\\0﷑', 'g'), '﷐') AS parts FROM d" for n, (kind, (p, _, _)) in enumerate(OP8_RULES.items()))
+    + """),
+cut AS (SELECT k, ord, kind, parts[i] AS part, i FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM marked WHERE len(parts) > 1)),
+found AS (SELECT k, ord, kind, i, split_part(part, '﷑', 1) AS hit, sum(length(replace(part, '﷑', ''))) OVER (PARTITION BY k, ord ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)::BIGINT AS a FROM cut),
+spans AS (SELECT k, ord, kind, a, kind || ':' || a || ':' || (a + length(hit)) AS span FROM found WHERE i > 1 AND CASE """
+    + " ".join(f"WHEN kind = '{kind}' THEN length(regexp_extract(hit, '{p}', {g})) >= {n}" for kind, (p, g, n) in OP8_RULES.items())
+    + """ END),
+every AS (SELECT k, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+string_agg(span, ',' ORDER BY a, ord) FILTER (kind IN ('assign', 'access', 'hex')) AS base, string_agg(span, ',' ORDER BY a, ord) AS spans FROM spans GROUP BY k)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN every USING (k)"""
+)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_feistel": op1_pii_feistel,
     "op2_chat_hmm": op2_chat_hmm,
@@ -120,4 +173,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe_backtracking": op9_bpe_backtracking,
     "op10_decontam_automaton": op10_decontam_automaton,
 }
-ORACLES: dict[str, str] = {"op10_decontam_automaton": OP10_SQL}
+ORACLES: dict[str, str] = {"op3_quality_risk": OP3_SQL, "op8_secret_ledger": OP8_SQL, "op10_decontam_automaton": OP10_SQL}
