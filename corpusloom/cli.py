@@ -95,11 +95,15 @@ def _term_rows(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return order.positions(own, "file", "line", name="ord").withColumn("term", F.col("en")).drop("line")
 
 
+def _seeds(spark: SparkSession, path: str) -> DataFrame:
+    """Seed terms from a sheet of category and term; without one, the seed words."""
+    return readers.read_tsv(spark, path, ["category", "term"], 2) if path else mining.seed_terms(spark)
+
+
 def terms(spark: SparkSession, a: argparse.Namespace) -> None:
     corpus = readers.read_pairs_csv(spark, a.csv)
     if a.mode == "discover":
-        seeds = readers.read_tsv(spark, a.seeds, ["category", "term"], 2)
-        draft = scratch.cut(mining.draft_table(corpus, seeds, a.min_count))
+        draft = scratch.cut(mining.draft_table(corpus, _seeds(spark, a.seeds), a.min_count))
         writers.write_review(draft, a.out)
         print(f"Drafted {draft.count()} terms -> {a.out}")
         return
@@ -128,8 +132,7 @@ def terms(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def term_tables(spark: SparkSession, a: argparse.Namespace) -> None:
-    seeds = readers.read_tsv(spark, a.seeds, ["category", "term"], 2)
-    table = scratch.cut(mining.term_table(readers.read_pairs_csv(spark, a.csv), seeds, a.min_carriers, a.top))
+    table = scratch.cut(mining.term_table(readers.read_pairs_csv(spark, a.csv), _seeds(spark, a.seeds), a.min_carriers, a.top))
     writers.write_term_tables(table, a.out)
     _show(mining.band_summary(table).orderBy("category"), "Terms by band")
 
@@ -233,7 +236,7 @@ def parser() -> argparse.ArgumentParser:
     add(
         monolingual, "monolingual", ("--docs", None), ("--out", None), ("--min-lang-score", 0.85), ("--min-tibetan-ratio", 0.80), ("--min-syllables", 4), ("--max-syllables", 70), ("--max-chars", 400), ("--any-domain", False)
     )
-    add(term_tables, "term-tables", ("--csv", None), ("--seeds", None), ("--out", None), ("--min-carriers", 4), ("--top", 3))
+    add(term_tables, "term-tables", ("--csv", None), ("--seeds", ""), ("--out", None), ("--min-carriers", 4), ("--top", 3))
     own = add(
         terms, "terms", ("--csv", None), ("--terms", ""), ("--terms-dir", "terms"), ("--phrases", ""), ("--seeds", ""), ("--out", ""), ("--min-count", 5), ("--max-carriers", 40), ("--cross-per-term", 0),
         ("--phrase-repeat", 8), ("--bare-repeat", 6), ("--no-normalize", False), ("--seed", 42), ("--verbose", False), markers,

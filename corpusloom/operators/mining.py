@@ -8,7 +8,7 @@ Frequencies are counted, never collected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,10 +16,25 @@ from corpusloom.functions import text as X
 from corpusloom.sources.scratch import cut
 
 BANDS = (("high", 0.80), ("medium", 0.50), ("low", 0.0))
+#: English words, by category, whose rendering upstream audits first.
+SEED_WORDS = {
+    "fruit": ("apple", "banana", "mango", "orange", "grape", "peach", "pear", "guava", "papaya", "lemon", "pineapple", "watermelon"),
+    "vegetable": ("potato", "onion", "chilli", "cabbage", "carrot", "spinach", "tomato", "garlic", "ginger", "radish", "pumpkin"),
+    "animal": ("cow", "dog", "cat", "horse", "yak", "goat", "sheep", "pig", "chicken", "tiger", "bear", "monkey", "snake", "bird", "fish"),
+    "kinship": ("mother", "father", "brother", "sister", "uncle", "aunt", "son", "daughter", "grandmother", "grandfather", "wife", "husband"),
+    "place": ("thimphu", "paro", "punakha", "bumthang", "trongsa", "wangdue", "trashigang", "india", "nepal", "bhutan"),
+    "colour": ("red", "blue", "green", "yellow", "white", "black", "orange"),
+    "person": ("tom", "mary", "john", "alice", "david", "mike"),
+}
 #: Up to so many first words of terms are tested inside the scan; beyond, every word meets the join.
 MAX_KEYS = 20_000
 
 
+def seed_terms(spark: SparkSession) -> DataFrame:
+    """``(category, term)`` of the seed words."""
+    return spark.createDataFrame([(c, w) for c, words in SEED_WORDS.items() for w in words], "category string, term string")
+
+
 def words_of(en: Column) -> Column:
     """Lower-cased words, and words that end in s also without it."""
     w = F.regexp_extract_all(F.lower(en), F.lit(r"(?U)\w+"), F.lit(0))
@@ -42,7 +57,8 @@ def term_hits(corpus: DataFrame, terms: DataFrame) -> DataFrame:
     Terms without a word (blank, punctuation) and repeated terms of a category are left out. Spark broadcasts the terms
     where their measured size allows; then nothing is shuffled.
     """
-    keyed = terms.withColumn("__w", first_word(F.col("term"))).where("__w is not null").dropDuplicates(["category", "term"])
+    # Written, so that its size is measured: Spark would take a relation of the session's for a large one and broadcast the corpus.
+    keyed = cut(terms.withColumn("__w", first_word(F.col("term"))).where("__w is not null").dropDuplicates(["category", "term"]).coalesce(1))
     keys = [r[0] for r in keyed.select("__w").distinct().limit(MAX_KEYS + 1).collect()]
     words = words_of(F.col("en"))
     if len(keys) <= MAX_KEYS:

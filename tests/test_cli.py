@@ -74,6 +74,8 @@ def test_terms(spark, tmp_path, capsys):
     write_lines(tmp_path / "seeds", ["# seeds", "animals\tcow", "animals\tyak"])
     run("terms", "discover", "--csv", tmp_path / "c.csv", "--seeds", tmp_path / "seeds", "--out", tmp_path / "draft")
     assert readers.read_tsv(spark, str(tmp_path / "draft"), ["category", "en", "dz"], 3).first().category == "animals"
+    run("terms", "discover", "--csv", tmp_path / "c.csv", "--out", tmp_path / "own")
+    assert [r.en for r in readers.read_tsv(spark, str(tmp_path / "own"), ["category", "en", "dz"], 3).collect()] == ["cow"]
     run("term-tables", "--csv", tmp_path / "c.csv", "--seeds", tmp_path / "seeds", "--out", tmp_path / "tables")
     assert '"category": "animals", "high": 1, "medium": 0, "low": 0, "missing": 1' in capsys.readouterr().out
     write_lines(tmp_path / "t.tsv", ["animals\tcow\tབ་", "animals\thorse\tཏ་\tརྟ་", "animals\tyak\tགཡག་"])
