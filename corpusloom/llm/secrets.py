@@ -83,8 +83,11 @@ def scan_versions(df: DataFrame, path: str, text: str, home: str | None = None,
     if ledger is not None:
         ledger = ledger.where(F.col("version") == version).dropDuplicates(["blob"])
         unseen = cut(paths.select("blob").distinct().join(ledger.select("blob"), "blob", "left_anti"))
-        fresh = fresh.join(unseen, "blob", "left_semi")  # Spark broadcasts the unseen blobs where their measured size allows
-    fresh = fresh.dropDuplicates(["blob"])
+        few = int(unseen._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+        # Few unseen blobs keep all other texts where they are. Many meet the texts after the copies were merged, so that no hot blob gathers in a task.
+        fresh = fresh.join(F.broadcast(unseen), "blob", "left_semi").dropDuplicates(["blob"]) if few else fresh.dropDuplicates(["blob"]).join(unseen, "blob", "left_semi")
+    else:
+        fresh = fresh.dropDuplicates(["blob"])
 
     def make():
         return lambda column: [pa.array([scan_text(t) for t in texts(column)], pa.list_(pa.string()))]

@@ -572,7 +572,16 @@ def test_secrets_and_ledger(spark, docs):
     assert ",".join(s for s in secrets.scan_text(more[10**6])) == brute_spans(more[10**6])
 
 
-def test_ledger_scans_a_blob_once(spark, tmp_path):
+@pytest.mark.parametrize("most", ["10m", "-1"])
+def test_ledger_scans_a_blob_once(spark, tmp_path, most):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    try:
+        ledger_scans_a_blob_once(spark, tmp_path)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def ledger_scans_a_blob_once(spark, tmp_path):
     home = str(tmp_path / "ledger")
     df = spark.createDataFrame([("a", "token=abcdefghijklmnop"), ("b", "token=abcdefghijklmnop"), ("c", "x"), ("c", None), (None, "x")], "p string, text string")
     whole, fresh = secrets.scan_versions(df, "p", "text", home)
