@@ -96,8 +96,8 @@ def associations(corpus: DataFrame, terms: DataFrame, seen: DataFrame | None = N
     """
     seen = evidence(corpus, terms) if seen is None else seen
     overall = cut(corpus.select(F.explode(_with_total(X.chunks(F.col("dz")))).alias("chunk")).groupBy("chunk").agg(F.count("*").alias("df")))
-    total = overall.where("chunk is null").select(F.col("df").alias("rows"))  # one row
-    scored = seen.where("chunk is not null").join(hit_counts(seen), ["category", "term"]).join(overall, "chunk").join(F.broadcast(total))
+    total = overall.where("chunk is null").select("df").scalar()
+    scored = seen.where("chunk is not null").join(hit_counts(seen), ["category", "term"]).join(overall, "chunk").withColumn("rows", total)
     coverage = F.col("c") / F.col("hits")
     return scored.select("category", "term", "chunk", "c", "hits", coverage.alias("coverage"), (coverage / F.greatest(F.col("df") / F.col("rows"), F.lit(1e-9))).alias("lift"))
 

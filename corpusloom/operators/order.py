@@ -70,16 +70,15 @@ def index_percentiles(df: DataFrame, value: str, shares: dict[str, float], by: S
     Distinct values with their counts are ranked, not rows, and in two steps: values fall into ``bins`` bins by their
     place between the group's least and greatest, bins are summed, and only the values of a bin are sorted together.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    counts = cut(counts)
-    ends = counts.groupBy(*by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum("n").alias("__total"))
-    own = counts.join(ends, list(by)) if by else counts.crossJoin(F.broadcast(ends))  # one row
+    keys = [*by, "__all"]  # without groups, all values share a constant
+    counts = cut(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))).withColumn("__all", F.lit(0))
+    ends = counts.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum("n").alias("__total"))
     width = F.try_divide(F.col(value).cast("double") - F.col("__lo").cast("double"), F.col("__hi").cast("double") - F.col("__lo").cast("double"))
-    own = own.withColumn("__bin", F.least(F.floor(F.coalesce(width, F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int"))
-    sums = own.groupBy(*by, "__bin").agg(F.sum("n").alias("__b"))
-    ahead = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*by, "__bin", F.coalesce(F.sum("__b").over(ahead), F.lit(0)).alias("__start"))
-    within = Window.partitionBy(*by, "__bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = own.withColumn("__own", F.sum("n").over(within)).join(starts, [*by, "__bin"]).withColumn("__upto", F.col("__start") + F.col("__own"))
+    own = counts.join(ends, keys).withColumn("__bin", F.least(F.floor(F.coalesce(width, F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int"))
+    sums = own.groupBy(*keys, "__bin").agg(F.sum("n").alias("__b"))
+    ahead = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*keys, "__bin", F.coalesce(F.sum("__b").over(ahead), F.lit(0)).alias("__start"))
+    within = Window.partitionBy(*keys, "__bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = own.withColumn("__own", F.sum("n").over(within)).join(starts, [*keys, "__bin"]).withColumn("__upto", F.col("__start") + F.col("__own"))
     picks = [F.min(F.when(F.col("__upto") > F.floor(F.col("__total") * s), F.col(value))).alias(name) for name, s in shares.items()]
     return ranked.groupBy(*by).agg(F.max("__total").alias("n"), *picks)

@@ -22,15 +22,15 @@ def audit(pairs: DataFrame, dz: str = "dz", honorifics: tuple[str, ...] = (), un
         F.count("*").alias("rows"), share(c.rlike("[༠-༩0-9]")).alias("digit_share"), F.max(F.size(X.chunks(c))).alias("max_words"),
         F.coalesce(F.try_divide(F.sum(X.count_of(c, " ")).cast("double"), F.sum(X.count_of(c, unit))), F.lit(0.0)).alias("spaces_per_syllable"), share(polite).alias("honorific_share"),
     )
-    return own.crossJoin(F.broadcast(at))  # one row each
+    return own.withColumn("p95_words", at.scalar())
 
 
 def sentence_profile(lines: DataFrame, column: str = "sentence", unit: str = X.TSHEG) -> DataFrame:
     """One row: sentences, how many carry a numeral, units of a sentence at the middle and at 95 of 100."""
     own = lines.select(X.count_of(F.col(column), unit).alias("units"))
-    at = index_percentiles(own, "units", {"median": 0.5, "p95": 0.95}).select("median", "p95")
+    at = index_percentiles(own, "units", {"median": 0.5, "p95": 0.95})
     some = lines.agg(F.count("*").alias("sentences"), F.count_if(F.col(column).rlike("[༠-༩0-9]")).alias("with_numeral"))
-    return some.crossJoin(F.broadcast(at))  # one row each
+    return some.withColumns({c: at.select(c).scalar() for c in ("median", "p95")})
 
 
 def samples(lines: DataFrame, column: str, *order: str, n: int = 5, width: int = 110) -> DataFrame:
