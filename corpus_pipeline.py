@@ -28,12 +28,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4 at the stage's setting: five-word shingles, Jaccard similarity 0.8 or more, by BK-trees over exact Hamming distances.
+    """Operator 4 at the stage's setting: five-word shingles, Jaccard similarity 0.8 or more. SimHash fingerprints meet in BK-trees by Hamming distance, within a radius wide enough for that; the shingles are checked after.
 
     Of each component the document with the smallest id stays; repeated rows of it become one, other texts of its id are documents of their own.
     Rows without an id belong to no component and stay. Null and empty texts are copies of each other.
     """
-    own, back = aside(docs, ["__code", "__n", "__bands", "least", "text_", "root", "code"])
+    own, back = aside(docs, ["__code", "__n", "__simhash", "__bands", "least", "text_", "root", "code"])
     return resemblance.representatives(own, "doc_id", "text").select(*[back[c] for c in docs.columns])
 
 

@@ -1,11 +1,16 @@
 """Operator 4 at a similarity: near copies of Jaccard similarity 0.8 on five-word shingles (the pipeline's near-duplicate stage).
 
-A text is the characteristic vector of its shingles. Two vectors of ``a`` and ``b`` ones that lie ``d`` apart in integer
-Hamming distance have similarity 0.8 or more just if 9 d <= a + b, so the BK-trees of operator 4, over this distance
-and with a radius of a quarter of ``a``, find all such texts of a shard exactly. (Fingerprints of 64 bits can't: texts of
-similarity 0.8 differ in 4 to 14 of them.) Shards come from MinHash bands: ``BANDS`` bands of ``ROWS`` values each, so a
-pair of similarity 0.8 shares no band with probability (1 - 0.8**7)**52, about 5e-6. Texts that share a band are
-linked to the least of them, never pairwise, and fall into families.
+The steps are operator 4's, with an exact check after them. A text's fingerprint is the SimHash of its distinct shingles,
+``64 * WORDS64`` bits; BK-trees keyed by the integer Hamming distance of fingerprints are searched within ``RADIUS`` bits,
+and what they find is a link if the shingle sets have similarity 0.8 or more. A bit of two such texts differs with
+probability 0.1875 at most (enumerated for up to 60 shingles; 0.15 for many), so the radius
+overlooks a pair with probability of about 1e-9 at most.
+
+Trees need shards. Operator 4's own, by agreeing blocks of 64 bits, hold every pair within ``NEAR`` bits; at the radius
+that similarity 0.8 needs there (24 of 64 bits) two agreeing blocks would make 325 shards of 4 bits for each text, four 20,475 of 9.
+Texts beyond ``NEAR`` bits are therefore brought into a shard by MinHash bands as well, ``BANDS`` bands of ``ROWS`` values each: a
+pair of similarity 0.8 shares no band with probability (1 - 0.8**7)**52, about 5e-6. Texts that share a band are linked to
+the least of them, never pairwise. Both kinds of links make families, and a family is a shard: links are only taken from its trees.
 
 A family of up to ``FAMILY`` shingles is compared by one task, which holds one such family at a time. A larger one is
 spread: all members meet the family's first text, which leaves the usual group of copies with few others; these few, in
@@ -18,7 +23,7 @@ are copies of each other; texts with fewer words than a shingle are one shingle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +33,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from corpusloom.llm import simhash
 from corpusloom.llm.base import append_arrow, cut, salted_join, texts
-from corpusloom.llm.simhash import SEED, BkTree, components, shingles_of
+from corpusloom.llm.simhash import SEED, BkTree, components, hamming, shingles_of
 
 WORDS = 5
 LEAST = 0.8
 BANDS, ROWS = 52, 7
+#: 64-bit words of a family's fingerprints, and how many of their bits may differ between texts of similarity ``LEAST``.
+WORDS64, RADIUS = 4, 88
+#: The radius of the operator's own shards, over the first word.
+NEAR = 4
 _RNG = np.random.RandomState(SEED)
 _TIMES = (_RNG.randint(0, 1 << 31, BANDS * ROWS).astype(np.uint32) << 1 | 1)[:, None]
 _PLUS = _RNG.randint(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -58,33 +68,68 @@ def bands_of(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(raw[n * b : n * (b + 1)], b) for b in range(BANDS)], dtype=np.uint64).view(np.int64)
 
 
+def fingerprint_of(hashes: np.ndarray, words: int = WORDS64) -> int:
+    """The unsigned SimHash of a shingle set, ``64 * words`` bits: the first word by the hashes themselves, the others by mixes of them; zero without shingles."""
+    ones = np.zeros(64 * words, dtype=np.int64)
+    for i in range(0, len(hashes), _STEP):
+        own = hashes[i : i + _STEP]
+        each = np.stack([own, *[_mixed(own, j) for j in range(1, words)]], axis=1).astype("<u8")
+        ones += np.unpackbits(each.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def _mixed(hashes: np.ndarray, j: int) -> np.ndarray:
+    """A further 64-bit value of each hash (the finaliser of SplitMix64)."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15 * j % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def code_of(hashes: np.ndarray) -> int:
     """A signed 64-bit digest of a shingle set."""
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
 
 
-def sketched(df: DataFrame, text: str, words: int = WORDS, bands: bool = True, keep: list[str] | None = None) -> DataFrame:
-    """Add ``__code``, a digest of the shingle set, its size ``__n``, and ``__bands`` if asked for. One Arrow pass, no shuffle."""
+def sketched(df: DataFrame, text: str, words: int = WORDS, shards: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """Add ``__code``, a digest of the shingle set, its size ``__n``, and if asked for ``__simhash``, its 64-bit fingerprint as a signed long, and ``__bands``.
+
+    One Arrow pass, no shuffle.
+    """
 
     def make():
         def work(column):
-            codes, sizes, keys = [], [], []
+            codes, sizes, prints, keys = [], [], [], []
             for t in texts(column):
                 own = shingle_hashes(t, words)
                 codes.append(code_of(own))
                 sizes.append(len(own))
-                if bands:
+                if shards:
+                    prints.append(fingerprint_of(own, 1))
                     keys.append(bands_of(own))
             out = [pa.array(codes, pa.int64()), pa.array(sizes, pa.int64())]
-            if bands:
+            if shards:
                 offsets = pa.array(np.arange(len(codes) + 1, dtype=np.int32) * BANDS)
+                out.append(pa.array(np.array(prints, dtype=np.uint64).view(np.int64)))
                 out.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, np.int64), *keys]))))
             return out
 
         return work
 
-    fields = [("__code", T.LongType(), pa.int64()), ("__n", T.LongType(), pa.int64()), ("__bands", T.ArrayType(T.LongType()), pa.list_(pa.int64()))]
-    return append_arrow(df, [text], make, fields[: 2 + bands], keep)
+    fields = [
+        ("__code", T.LongType(), pa.int64()),
+        ("__n", T.LongType(), pa.int64()),
+        ("__simhash", T.LongType(), pa.int64()),
+        ("__bands", T.ArrayType(T.LongType()), pa.list_(pa.int64())),
+    ]
+    return append_arrow(df, [text], make, fields if shards else fields[:2], keep)
+
+
+def fingerprint_links(codes: DataFrame) -> DataFrame:
+    """From distinct (``code``, ``simhash``): operator 4's links within ``NEAR`` bits as ``(hi, lo)`` of codes. Codes of one fingerprint join the least of them."""
+    low = cut(codes.groupBy("simhash").agg(F.min("code").alias("node")))
+    same = salted_join(codes.select("code", "simhash"), low, "simhash", F.col("code")).where("code > node").select(F.col("code").alias("hi"), F.col("node").alias("lo"))
+    return same.union(simhash.links(low.select(F.col("simhash").alias("code"), "node"), NEAR))
 
 
 def band_links(own: DataFrame) -> DataFrame:
@@ -120,41 +165,47 @@ def distance(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) + len(b) - 2 * same
 
 
-def alike(a: np.ndarray, b: np.ndarray, least: float = LEAST, d: int | None = None) -> bool:
-    """Whether two sorted shingle sets have Jaccard similarity ``least`` or more; division rounds a tie to the same number."""
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted shingle sets have Jaccard similarity ``LEAST`` or more; division rounds a tie to the same number."""
     small, large = sorted((len(a), len(b)))
-    if not small or small / large < least:
+    if not small or small / large < LEAST:
         return not large
-    d = distance(a, b) if d is None else d
-    return (small + large - d) / (small + large + d) >= least
+    d = distance(a, b)
+    return (small + large - d) / (small + large + d) >= LEAST
+
+
+def entry(own: np.ndarray) -> tuple[int, np.ndarray]:
+    """What a tree holds of a text: its fingerprint, and its shingles for the check."""
+    return fingerprint_of(own), own
+
 
+def tree_of(entries: Iterable[tuple[int, np.ndarray]] = ()) -> BkTree:
+    """A BK-tree of entries by the Hamming distance of their fingerprints."""
+    tree = BkTree(lambda a, b: hamming(a[0], b[0]))
+    for e in entries:
+        tree.add(e)
+    return tree
 
-def radius_of(own: np.ndarray, least: float = LEAST) -> int:
-    """How far a set alike may be: it has at most ``len(own) / least`` shingles."""
-    return int(len(own) * (1 - least) / least) + 1
+
+def found(tree: BkTree, e: tuple[int, np.ndarray]) -> Iterator[int]:
+    """Places of entries within the radius that are alike."""
+    return (at for at, _ in tree.within(e, RADIUS) if alike(tree.items[at][1], e[1]))
 
 
 class Family:
-    """Sets by component; each component is a few BK-trees, and one entry within the radius is enough to join it."""
+    """Texts by component; each component is a few BK-trees, and one entry found there is enough to join it."""
 
-    def __init__(self, least: float = LEAST):
-        self.least = least
+    def __init__(self):
         self.parts: list[tuple[list[int], list[BkTree]]] = []
 
-    def meets(self, trees: list[BkTree], own: np.ndarray) -> bool:
-        r = radius_of(own, self.least)
-        return any(alike(tree.items[at], own, self.least, d) for tree in trees for at, d in tree.within(own, r))
-
-    def add(self, name: int, own: np.ndarray) -> None:
-        joined = [p for p in self.parts if self.meets(p[1], own)]
+    def add(self, name: int, e: tuple[int, np.ndarray]) -> None:
+        joined = [p for p in self.parts if any(True for tree in p[1] for _ in found(tree, e))]
         if not joined:
-            tree = BkTree(distance)
-            tree.add(own)
-            self.parts.append(([name], [tree]))
+            self.parts.append(([name], [tree_of([e])]))
             return
         first = joined[0]
         first[0].append(name)
-        first[1][0].add(own)
+        first[1][0].add(e)
         for p in joined[1:]:
             first[0].extend(p[0])
             first[1].extend(p[1])
@@ -163,11 +214,11 @@ class Family:
             self.parts = [p for p in self.parts if id(p) not in gone]
 
 
-def groups(sets: list[np.ndarray], least: float = LEAST) -> list[int]:
-    """For each set the number of the first one of its component, over all links of Jaccard similarity ``least`` or more."""
-    family = Family(least)
+def groups(sets: list[np.ndarray]) -> list[int]:
+    """For each set the number of the first one of its component, over all links of Jaccard similarity ``LEAST`` or more."""
+    family = Family()
     for i, own in enumerate(sets):
-        family.add(i, own)
+        family.add(i, entry(own))
     out = [0] * len(sets)
     for members, _ in family.parts:
         first = min(members)
@@ -235,10 +286,13 @@ def confirmed_in_blocks(members: DataFrame, words: int = WORDS, size: int = FAMI
         return np.asarray(values if values is not None else [], dtype=np.int64).view(np.uint64)
 
     def judge(batches):
+        root, tree = None, None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                near = alike(set_of(row.column(2)[0].values.to_numpy()), set_of(row.column(3)[0].values.to_numpy()))
+                if tree is None or root != row.column(0)[0].as_py():
+                    root, tree = row.column(0)[0].as_py(), tree_of([entry(set_of(row.column(3)[0].values.to_numpy()))])
+                near = any(True for _ in found(tree, entry(set_of(row.column(2)[0].values.to_numpy()))))
                 yield pa.RecordBatch.from_arrays([*row.columns[:3], pa.array([near])], names=["root", "code", "own", "near"])
 
     hashed = cut(members.select("root", "code", "text").mapInArrow(hash_all, "root long, code long, own array<long>").dropDuplicates(["root", "code"]))
@@ -274,15 +328,11 @@ def confirmed_in_blocks(members: DataFrame, words: int = WORDS, size: int = FAMI
 
 def _met(rows: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
     """Links of entries of side 0 with one entry of side 1, all of which share a component already."""
-    tree, names = BkTree(distance), []
-    for side, code, own in rows:
-        if side == 1:
-            tree.add(own)
-            names.append(code)
+    tree, names = tree_of(entry(own) for side, _, own in rows if side == 1), [code for side, code, _ in rows if side == 1]
     out = []
     for side, code, own in rows:
         if side == 0:
-            hit = next((at for at, d in tree.within(own, radius_of(own)) if alike(tree.items[at], own, d=d)), None)
+            hit = next(found(tree, entry(own)), None)
             if hit is not None:
                 out.append((code, names[hit]))
     return out
@@ -295,8 +345,8 @@ def representatives(df: DataFrame, key: str, text: str, words: int = WORDS, fami
     """
     keyed = df.where(F.col(key).isNotNull())
     own = cut(sketched(keyed.select(key, text), text, words, keep=[key]))
-    codes = cut(own.groupBy(F.col("__code").alias("code")).agg(F.min(key).alias("least"), F.first("__n").alias("n")))
-    linked = components(band_links(own))
+    codes = cut(own.groupBy(F.col("__code").alias("code")).agg(F.min(key).alias("least"), F.first("__n").alias("n"), F.first("__simhash").alias("simhash")))
+    linked = components(band_links(own).union(fingerprint_links(codes)))
     linked = linked.union(linked.select("root", "root")).distinct().withColumnRenamed("node", "code")
     one = cut(codes.select("code", "least", "n").join(linked, "code"))
     large = cut(one.groupBy("root").agg(F.sum("n").alias("w")).where(F.col("w") > family).select("root"))
@@ -311,6 +361,6 @@ def representatives(df: DataFrame, key: str, text: str, words: int = WORDS, fami
     named = codes.select("code", "least").join(leads.withColumnRenamed("node", "code"), "code", "left")
     best = named.groupBy(F.coalesce("root", "code").alias("lead")).agg(F.min(F.struct("least", "code")).alias("b"))
     # Texts are read a second time rather than kept: a copy of them would cost more disk than their digests cost time.
-    kept = sketched(keyed, text, words, bands=False).join(best.select(F.col("b.least").alias(key), F.col("b.code").alias("__code")).hint("merge"), [key, "__code"], "left_semi")
+    kept = sketched(keyed, text, words, shards=False).join(best.select(F.col("b.least").alias(key), F.col("b.code").alias("__code")).hint("merge"), [key, "__code"], "left_semi")
     once = kept.dropDuplicates([key, "__code"]).drop("__code", "__n")
     return once.unionByName(df.where(F.col(key).isNull()))

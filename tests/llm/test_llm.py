@@ -735,6 +735,42 @@ def test_set_trees_are_exact():
     assert resemblance.groups(sets) == lead and len(set(lead)) < len(sets) - 10
 
 
+def test_near_dedup_links_come_from_trees_of_fingerprints(docs, monkeypatch):
+    for t in [*ODD[:-1], *list(docs.values())[:40]]:
+        own = resemblance.shingle_hashes(t)
+        hs = {xxhash.xxh64_intdigest(" ".join(s).encode(), 42) for s in brute_shingles(t)}
+        first = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+        assert resemblance.fingerprint_of(own, 1) == first == resemblance.fingerprint_of(own) % (1 << 64)
+        if len(simhash.shingles_of(t, 5)) == len(hs):  # no shingle is repeated: operator 4's own fingerprint
+            assert first == simhash.fingerprint_of(t, 5)
+    rng = random.Random(31)
+    far = []
+    for _ in range(300):
+        a = rng.choice((4, 5, 8, 9, 12, 13, 16, 40, 41, 400))
+        both = np.array([rng.getrandbits(64) for _ in range(a + a // 4)], dtype=np.uint64)
+        a, b = np.sort(both[:a]), np.sort(both)  # similarity 0.8 or little more
+        assert resemblance.alike(a, b)
+        far.append(simhash.hamming(resemblance.fingerprint_of(a), resemblance.fingerprint_of(b)))
+    assert 4 < np.median(far) and max(far) <= resemblance.RADIUS
+    sets = [resemblance.shingle_hashes(t) for _, t in near_copies(rng)[:9]]
+    assert len(set(resemblance.groups(sets))) < len(sets)
+    monkeypatch.setattr(resemblance, "RADIUS", -1)
+    assert resemblance.groups(sets) == list(range(len(sets)))
+
+
+def test_near_dedup_takes_the_shards_of_the_operator_too(spark):
+    rng = random.Random(17)
+    prints = near_codes(rng, 40, rng.getrandbits(64), 7) + [rng.getrandbits(64) for _ in range(20)]
+    prints += prints[:10]  # other texts of the same fingerprint
+    rows = [(i, c - (1 << 64) if c >> 63 else c) for i, c in enumerate(prints)]
+    found = resemblance.fingerprint_links(spark.createDataFrame(rows, "code long, simhash long"))
+    roots = {r.node: r.root for r in simhash.components(found).collect()}
+    lead = list(range(len(prints)))
+    for _ in prints:
+        lead = [min(lead[j] for j, b in enumerate(prints) if (a ^ b).bit_count() <= 4) for a in prints]
+    assert [roots.get(i, i) for i in range(len(prints))] == lead and len(set(lead)) < 60
+
+
 def test_large_families_in_blocks_match_brute_force(spark):
     """One family of near copies around a text, with members that only some copies resemble, at a block size of a few texts."""
     rng = random.Random(13)
