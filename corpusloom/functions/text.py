@@ -249,19 +249,25 @@ def direction_key(src: Column, tgt: Column) -> Column:
     return F.concat(F.left(src, F.lit(3)), F.lit("2"), F.left(tgt, F.lit(3)))
 
 
-def swap_english(sentence: Column, old: Column, new: Column) -> Column:
+#: The border of a word of ASCII letters, digits and underscores, whatever the flags around it and the Java version: RE2's ``\b``.
+ASCII_BORDER = r"(?-iuU:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+
+
+def swap_english(sentence: Column, old: Column, new: Column, ascii_words: bool = False) -> Column:
     """``old`` (plural too) replaced by ``new``, its plural kept with a small s, and a/an set right after it.
 
-    A term that itself ends in s counts as plural, as upstream has it.
+    A term that itself ends in s counts as plural, as upstream has it. With ``ascii_words`` any other letter borders a
+    word, as in RE2's patterns and so in SQL: the last three letters of "Éthe" are a word of their own then.
     """
+    flags, border, sound = ("(?iu)", ASCII_BORDER, "[A-Za-z0-9_&&[^aeiouAEIOU]]") if ascii_words else ("(?iU)", r"\b", r"[^aeiouAEIOU\W]")
     own = F.regexp_replace(new, r"([\\$])", r"\\$1")
-    term = F.concat(F.lit(r"(?iU)\b\Q"), old, F.lit(r"\E"))
+    term = F.concat(F.lit(flags + border + r"\Q"), old, F.lit(r"\E"))
     # The plural's s is found and dropped in one pass, so that a replacement is never replaced again.
-    kept = F.when(F.lower(old).endswith("s"), F.regexp_replace(sentence, F.concat(term, F.lit(r"s?\b")), F.concat(own, F.lit("s")))).otherwise(
-        _plural(F.regexp_replace(sentence, F.concat(term, F.lit(r"(s?)\b")), F.concat(own, F.lit(MARK + "$1" + MARK))))
+    kept = F.when(F.lower(old).endswith("s"), F.regexp_replace(sentence, F.concat(term, F.lit("s?" + border)), F.concat(own, F.lit("s")))).otherwise(
+        _plural(F.regexp_replace(sentence, F.concat(term, F.lit("(s?)" + border)), F.concat(own, F.lit(MARK + "$1" + MARK))))
     )
-    some = F.regexp_replace(kept, r"(?U)\ban (?=[^aeiouAEIOU\W])", "a ")
-    return F.regexp_replace(some, r"(?U)\ba (?=[aeiouAEIOU])", "an ")
+    some = F.regexp_replace(kept, rf"(?U){border}an (?={sound})", "a ")
+    return F.regexp_replace(some, rf"(?U){border}a (?=[aeiouAEIOU])", "an ")
 
 
 #: A character that no text holds: a Unicode noncharacter.
@@ -269,4 +275,4 @@ MARK = "\ufdd0"
 
 
 def _plural(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, f"{MARK}[sS]{MARK}", "s"), f"{MARK}.?{MARK}", "")
+    return F.regexp_replace(F.regexp_replace(c, f"{MARK}[sSſ]{MARK}", "s"), f"{MARK}.?{MARK}", "")

@@ -76,9 +76,13 @@ def carrier_report(counts: DataFrame, zero: int = 10, top: int = 5) -> DataFrame
 
 
 def augment(
-    corpus: DataFrame, terms: DataFrame, phrases: DataFrame | None = None, max_carriers: int = 40, cross_per_term: int = 0, bare_repeat: int = 6, phrase_repeat: int = 8, seed: int = 42
-) -> DataFrame:
-    """Pairs ``(dz, en, bare, origin)``: corrected carriers, their loans to sibling terms, bare terms and phrases."""
+    corpus: DataFrame, terms: DataFrame, phrases: DataFrame | None = None, max_carriers: int = 40, cross_per_term: int = 0, bare_repeat: int = 6, phrase_repeat: int = 8, seed: int = 42,
+    ascii_words: bool = False,
+) -> DataFrame:
+    """Pairs ``(dz, en, bare, origin)``: corrected carriers, their loans to sibling terms, bare terms and phrases.
+
+    ``ascii_words``: how ``swap_english`` bounds words in loans.
+    """
     drawn = sample_per_key(carriers(corpus, terms), ["category", "term"], max_carriers, seed, "row_id")
     origin = F.when(F.col("found") == F.col("preferred"), "kept").otherwise("corrected")
     out = drawn.select(F.replace("dz", "found", "preferred").alias("dz"), "en", F.lit(False).alias("bare"), origin.alias("origin"))
@@ -87,7 +91,7 @@ def augment(
         lent = sample_per_key(drawn, ["category", "term"], cross_per_term, seed, "row_id")
         other = terms.select("category", F.col("term").alias("other"), F.col("dz").alias("other_dz"))
         both = lent.join(other, "category").where("other <> term")
-        swapped = both.select("dz", "en", F.replace("dz", "found", "other_dz").alias("new_dz"), X.swap_english(F.col("en"), F.col("term"), F.col("other")).alias("new_en"))
+        swapped = both.select("dz", "en", F.replace("dz", "found", "other_dz").alias("new_dz"), X.swap_english(F.col("en"), F.col("term"), F.col("other"), ascii_words).alias("new_en"))
         crossed = swapped.where("new_dz <> dz AND new_en <> en")
         out = out.union(crossed.select("new_dz", "new_en", F.lit(False), F.lit("cross")))
     with_any = drawn.select("category", "term", F.col("preferred").alias("dz")).distinct()

@@ -318,3 +318,15 @@ def test_synthetic_rejects_count_contradicting_numbers(spark, small_dir):
 def test_repetition_returns_every_document(spark, small_dir):
     got = {r.doc_id: r.repeats for r in catalog.QUERIES["repetition"](spark, small_dir).collect()}
     assert got == {i: brute_repeats(r.text) for i, r in texts_of(spark, small_dir).items()}
+
+
+def test_noun_swaps_bound_words_as_their_sql_does(spark, tmp_path):
+    import duckdb
+
+    texts = ["The Éan de aiê la. The Éthe ïa owl.", "Éthes an bird, a a a end. Mathé the ça egg.", "the theſ THE\u212a an éa an _x. nothing here"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("fr")).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = sorted(tuple(r) for r in catalog.QUERIES["noun_swaps"](spark, str(tmp_path)).collect())
+    assert got == sorted(db.execute(catalog.ORACLES["noun_swaps"]).fetchall()) and len(got) == 5
+    assert spark.range(1).select(X.swap_english(F.lit("The Éan de"), F.lit("the"), F.lit("owl"))).first()[0] == "owl Éan de"
