@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions import text as X
 from corpusloom.operators.mining import term_hits
-from corpusloom.operators.order import first_rows, sample_per_key
+from corpusloom.operators.order import GROUP_LIMIT, draw_counts, first_rows, sample_per_key
 
 
 def lint(terms: DataFrame, order: str = "ord") -> DataFrame:
@@ -83,18 +83,20 @@ def augment(
 
     ``ascii_words``: how ``swap_english`` bounds words in loans.
     """
-    drawn = sample_per_key(carriers(corpus, terms), ["category", "term"], max_carriers, seed, "row_id")
+    key, hits = ["category", "term"], carriers(corpus, terms).select("row_id", "dz", "en", "category", "term", "preferred", "found")
+    many = draw_counts(hits, key, seed, "row_id", keep=["preferred"]) if max_carriers > GROUP_LIMIT else None
+    drawn = sample_per_key(hits, key, max_carriers, seed, "row_id", counts=many)
     origin = F.when(F.col("found") == F.col("preferred"), "kept").otherwise("corrected")
     out = drawn.select(F.replace("dz", "found", "preferred").alias("dz"), "en", F.lit(False).alias("bare"), origin.alias("origin"))
     if cross_per_term:
         # Ranked a second time, so that the carriers lent do not depend on how rows were dealt.
-        lent = sample_per_key(drawn, ["category", "term"], cross_per_term, seed, "row_id")
+        lent = sample_per_key(drawn, key, cross_per_term, seed, "row_id")
         other = terms.select("category", F.col("term").alias("other"), F.col("dz").alias("other_dz"))
         both = lent.join(other, "category").where("other <> term")
         swapped = both.select("dz", "en", F.replace("dz", "found", "other_dz").alias("new_dz"), X.swap_english(F.col("en"), F.col("term"), F.col("other"), ascii_words).alias("new_en"))
         crossed = swapped.where("new_dz <> dz AND new_en <> en")
         out = out.union(crossed.select("new_dz", "new_en", F.lit(False), F.lit("cross")))
-    with_any = drawn.select("category", "term", F.col("preferred").alias("dz")).distinct()
+    with_any = (drawn if many is None else many).select("category", "term", F.col("preferred").alias("dz")).distinct()
     spelled = F.when(F.left("term", F.lit(1)).rlike(r"(?U)^\p{Lower}"), F.array(F.col("term"), X.capitalize(F.col("term")))).otherwise(F.array("term"))
     bare = with_any.select("dz", F.explode(spelled).alias("en")).select("dz", "en", F.explode(F.sequence(F.lit(1), F.lit(bare_repeat))))
     out = out.union(bare.select("dz", "en", F.lit(True), F.lit("bare")))

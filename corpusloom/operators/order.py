@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -52,10 +53,44 @@ def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def sample_per_key(df: DataFrame, key: Sequence[str], n: int, seed: int, *identity: str) -> DataFrame:
-    """Up to ``n`` rows of each key, drawn by hash."""
-    w = Window.partitionBy(*key).orderBy(seeded_order(seed, *key, *identity), *identity)
-    return df.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= n).drop("__rank")
+#: Up to so many rows of a key, Spark ranks them within each task ahead of the shuffle (its windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
+
+
+def _bin(draw: str) -> Column:
+    """4096 bins in the order of a draw."""
+    return F.left(draw, F.lit(3))
+
+
+def draw_counts(df: DataFrame, key: Sequence[str], seed: int, *identity: str, keep: Sequence[str] = ()) -> DataFrame:
+    """``(key, keep, __bin, __n)``: how many rows of each key fall into each bin of the draw. Written once. The key sets ``keep``."""
+    own = df.withColumn("__draw", seeded_order(seed, *key, *identity)).withColumn("__bin", _bin("__draw"))
+    return cut(own.groupBy(*key, *keep, "__bin").agg(F.count("*").alias("__n")))
+
+
+def sample_per_key(df: DataFrame, key: Sequence[str], n: int, seed: int, *identity: str, counts: DataFrame | None = None) -> DataFrame:
+    """Up to ``n`` rows of each key, drawn by hash.
+
+    Where ``n`` is large, no task sorts a whole key: rows are counted by bins of the draw (``counts``, from ``draw_counts``),
+    keys of ``n`` rows or fewer pass, and of the others' rows those of a bin are ranked together.
+    """
+    drawn = df.withColumn("__draw", seeded_order(seed, *key, *identity))
+    if n <= GROUP_LIMIT:
+        w = Window.partitionBy(*key).orderBy("__draw", *identity)
+        return drawn.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= n).select(*df.columns)
+    counts = draw_counts(df, key, seed, *identity) if counts is None else counts
+    upto = F.sum("__n").over(Window.partitionBy(*key).orderBy("__bin"))
+    # A row for each key of more than n rows: the bin in which the nth falls, and how many of that bin's rows stay.
+    over = counts.withColumn("__upto", upto).where(F.col("__upto") > n).groupBy(*key).agg(F.min(F.struct("__bin", (n - F.col("__upto") + F.col("__n")).alias("rest"))).alias("__last"))
+    last = cut(over.select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(key)], "__last"))
+    if last.isEmpty():
+        return df
+    same = functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(key)])
+    own = drawn.withColumn("__bin", _bin("__draw")).join(last, same, "left")
+    own = own.where(F.col("__last").isNull() | (F.col("__bin") <= F.col("__last.__bin")))
+    w = Window.partitionBy(*key, "__bin").orderBy("__draw", *identity)
+    stays = F.col("__last").isNull() | (F.col("__bin") < F.col("__last.__bin")) | (F.col("__rank") <= F.col("__last.rest"))
+    return own.withColumn("__rank", F.row_number().over(w)).where(stays).select(*df.columns)
 
 
 def hash_split(df: DataFrame, share: float, seed: int, *keys: str) -> DataFrame:

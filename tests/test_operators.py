@@ -330,3 +330,16 @@ def test_noun_swaps_bound_words_as_their_sql_does(spark, tmp_path):
     got = sorted(tuple(r) for r in catalog.QUERIES["noun_swaps"](spark, str(tmp_path)).collect())
     assert got == sorted(db.execute(catalog.ORACLES["noun_swaps"]).fetchall()) and len(got) == 5
     assert spark.range(1).select(X.swap_english(F.lit("The Éan de"), F.lit("the"), F.lit("owl"))).first()[0] == "owl Éan de"
+
+
+def test_large_samples_sort_no_whole_key(spark):
+    rows = spark.range(9000).select("id", F.when(F.col("id") < 6000, "hot").when(F.col("id") < 8500, None).otherwise("rare").alias("k"))
+    ranked = Window.partitionBy("k").orderBy(F.md5(F.concat_ws("|", F.lit(7), "k", "id")), "id")
+    for n in (1001, 2500, 5999):
+        brute = rows.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= n).drop("r")
+        assert sorted(order.sample_per_key(rows, ["k"], n, 7, "id").collect(), key=str) == sorted(brute.collect(), key=str)
+    corpus = spark.range(50).select(F.col("id").alias("row_id"), F.lit("the x").alias("dz"), F.lit("the x").alias("en"))
+    terms = spark.createDataFrame([("c", "the", "The", ["the"])], "category string, term string, dz string, variants array<string>")
+    made = augment.augment(corpus, terms, max_carriers=1 << 30)
+    assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {r[0]: r[1] for r in made.groupBy("origin").count().collect()} == {"corrected": 50, "bare": 12}
