@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from corpusloom.functions import text as X
 from corpusloom.operators.mining import term_hits
 from corpusloom.operators.order import GROUP_LIMIT, draw_counts, first_rows, sample_per_key
+from corpusloom.sources.scratch import cut
 
 
 def lint(terms: DataFrame, order: str = "ord") -> DataFrame:
@@ -86,6 +87,8 @@ def augment(
     key, hits = ["category", "term"], carriers(corpus, terms).select("row_id", "dz", "en", "category", "term", "preferred", "found")
     many = draw_counts(hits, key, seed, "row_id", keep=["preferred"]) if max_carriers > GROUP_LIMIT else None
     drawn = sample_per_key(hits, key, max_carriers, seed, "row_id", counts=many)
+    if many is None:
+        drawn = cut(drawn)  # used up to three times, and small: the corpus is searched once
     origin = F.when(F.col("found") == F.col("preferred"), "kept").otherwise("corrected")
     out = drawn.select(F.replace("dz", "found", "preferred").alias("dz"), "en", F.lit(False).alias("bare"), origin.alias("origin"))
     if cross_per_term:

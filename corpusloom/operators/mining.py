@@ -8,6 +8,8 @@ Frequencies are counted, never collected.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,9 +37,16 @@ def seed_terms(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(c, w) for c, words in SEED_WORDS.items() for w in words], "category string, term string")
 
 
-def words_of(en: Column) -> Column:
-    """Lower-cased words, and words that end in s also without it."""
+def words_of(en: Column, keys: Sequence[str] | None = None) -> Column:
+    """Lower-cased words, and words that end in s also without it; only those among ``keys`` where these are given."""
     w = F.regexp_extract_all(F.lower(en), F.lit(r"(?U)\w+"), F.lit(0))
+    if keys is not None:  # most words go before any is cut or compared
+        own = F.filter(w, lambda x: x.isin(*{y for k in keys for y in (k, f"{k}s")}))
+        return F.filter(_singular(own), lambda x: x.isin(*keys))
+    return _singular(w)
+
+
+def _singular(w: Column) -> Column:
     return X.let(w, lambda own: F.array_distinct(F.concat(own, F.transform(F.filter(own, lambda x: x.endswith("s")), lambda x: F.substr(x, F.lit(1), F.length(x) - 1)))))
 
 
@@ -60,9 +69,7 @@ def term_hits(corpus: DataFrame, terms: DataFrame) -> DataFrame:
     # Written, so that its size is measured: Spark would take a relation of the session's for a large one and broadcast the corpus.
     keyed = cut(terms.withColumn("__w", first_word(F.col("term"))).where("__w is not null").dropDuplicates(["category", "term"]).coalesce(1))
     keys = [r[0] for r in keyed.select("__w").distinct().limit(MAX_KEYS + 1).collect()]
-    words = words_of(F.col("en"))
-    if len(keys) <= MAX_KEYS:
-        words = F.filter(words, lambda w: w.isin(*keys))
+    words = words_of(F.col("en"), keys if len(keys) <= MAX_KEYS else None)
     # A row has each of its words once and a term has one first word, so no pair comes twice.
     joined = corpus.withColumn("__w", F.explode(words)).join(keyed, "__w").drop("__w")
     return joined.where(~F.col("term").rlike(r"(?U)\W") | matches())

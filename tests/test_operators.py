@@ -343,3 +343,11 @@ def test_large_samples_sort_no_whole_key(spark):
     made = augment.augment(corpus, terms, max_carriers=1 << 30)
     assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString()
     assert {r[0]: r[1] for r in made.groupBy("origin").count().collect()} == {"corrected": 50, "bare": 12}
+
+
+def test_augmentation_searches_the_corpus_once(spark):
+    corpus = spark.createDataFrame([(0, "ཨེ་", "an apple's Apples"), (1, "ཨེ་", "pineapple")], P)
+    terms = spark.createDataFrame([("f", "apple", "ཨེ་", []), ("f", "fig", "མ་", [])], "category string, term string, dz string, variants array<string>")
+    made = augment.augment(corpus, terms, cross_per_term=1)
+    assert "regexp_extract_all" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert Counter(r.origin for r in made.collect()) == {"kept": 1, "cross": 1, "bare": 12}
