@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.sources.scratch import cut
 
 
 def tails(line: Column) -> Column:
@@ -36,16 +37,27 @@ def head_and_rest(lines: DataFrame, position: str, share: float = 0.7) -> tuple[
     return lines.where(F.col(position) < n), lines.where(F.col(position) >= n)
 
 
+#: Up to so many markers are tested inside the scan; beyond, every chunk meets a join.
+MAX_MARKERS = 20_000
+
+
 def boundary_recall(lines: DataFrame, markers: DataFrame, column: str = "value", tail=tails) -> DataFrame:
     """``lines, boundaries, recovered, missed, exact, recall`` over lines of two chunks or more.
 
-    Markers join as a relation, so their number is free.
+    Markers are written once. Where there are few, each line is judged in place and nothing is shuffled; many join as a
+    relation, so their number is free.
     """
     inner = X.let(tail(F.col(column)), lambda t: F.when(F.size(t) >= 2, F.slice(t, F.lit(1), F.size(t) - 1)))
-    own = lines.select(F.monotonically_increasing_id().alias("line"), inner.alias("inner"))
-    each = own.select("line", F.explode("inner").alias("tail"))
-    hit = each.join(markers.select("tail", F.lit(1).alias("hit")), "tail", "left")
-    per_line = hit.groupBy("line").agg(F.count("*").alias("n"), F.count("hit").alias("tp"))
+    known = cut(markers.select("tail").where("tail is not null").distinct())
+    few = [r[0] for r in known.limit(MAX_MARKERS + 1).collect()]
+    if len(few) <= MAX_MARKERS:
+        judged = X.let(inner, lambda t: F.struct(F.size(t).cast("bigint").alias("n"), F.size(F.filter(t, lambda x: x.isin(*few))).cast("bigint").alias("tp")))
+        per_line = lines.select(F.inline(F.filter(F.array(judged), lambda x: x["n"] > 0)))
+    else:
+        own = lines.select(F.monotonically_increasing_id().alias("line"), inner.alias("inner"))
+        each = own.select("line", F.explode("inner").alias("tail"))
+        hit = each.join(known.select("tail", F.lit(1).alias("hit")), "tail", "left")
+        per_line = hit.groupBy("line").agg(F.count("*").alias("n"), F.count("hit").alias("tp"))
     return per_line.agg(
         F.count("*").alias("lines"), F.sum("n").alias("boundaries"), F.sum("tp").alias("recovered"), F.sum(F.col("n") - F.col("tp")).alias("missed"),
         F.count_if(F.col("n") == F.col("tp")).alias("exact"), F.coalesce(F.try_divide(F.sum("tp"), F.sum("n")), F.lit(0.0)).alias("recall"),

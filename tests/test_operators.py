@@ -351,3 +351,14 @@ def test_augmentation_searches_the_corpus_once(spark):
     made = augment.augment(corpus, terms, cross_per_term=1)
     assert "regexp_extract_all" not in made._jdf.queryExecution().optimizedPlan().toString()
     assert Counter(r.origin for r in made.collect()) == {"kept": 1, "cross": 1, "bare": 12}
+
+
+def test_recall_judges_lines_in_place(spark, monkeypatch):
+    lines = spark.createDataFrame([("ཀ་ ཁ་ ག་ ང་",), ("ཀ་ ཀ་ ཁ་",), ("ཀ་",), ("",), (None,)], "value string")
+    marks = spark.createDataFrame([("ཀ",), ("ག",), (None,)], "tail string")
+    one = boundary.boundary_recall(lines, marks)
+    assert "Join" not in one._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(boundary, "MAX_MARKERS", 0)
+    assert one.collect() == boundary.boundary_recall(lines, marks).collect() == [(2, 5, 4, 1, 1, 0.8)]
+    monkeypatch.undo()
+    assert tuple(boundary.boundary_recall(lines, marks.limit(0)).first()) == (2, 5, 0, 5, 0, 0.0)
