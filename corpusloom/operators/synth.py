@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,19 +14,47 @@ from corpusloom.operators.filters import drop_empty_arrays, tag_synthetic, water
 from corpusloom.operators.order import first_rows
 
 
+#: A worker sends translated rows back when they reach so many, or so many characters: bounds its memory whatever the batch and the texts.
+SEND_ROWS, SEND_CHARS = 1024, 1 << 20
+
+
 def translate(df: DataFrame, column: str, out: str, load: Callable[[], Callable[[Sequence[str]], Sequence[str]]], batch: int = 32) -> DataFrame:
-    """Add ``out``: what the translator gives for ``column``. ``load`` runs once for each task; rows keep their identity."""
+    """Add ``out``: what the translator gives for ``column``. ``load`` runs once for each task; rows keep their identity.
+
+    A worker holds the texts of one call of the translator and the rows not yet sent as Python objects, never a whole Arrow batch.
+    """
     kept = [c for c in df.columns if c != out]
     schema = df.select(*kept).withColumn(out, F.lit(None).cast("string")).schema
 
+    slices = _slices(kept.index(column), out, batch)
+
     def run(frames):
         model = load()
         for frame in frames:
-            texts = frame[column].tolist()
-            done = [y for i in range(0, len(texts), batch) for y in model(texts[i : i + batch])]
-            yield frame.assign(**{out: pd.Series(done, index=frame.index, dtype=object)})
-
-    return df.select(*kept).mapInPandas(run, schema)
+            yield from slices(frame, model)
+
+    return df.select(*kept).mapInArrow(run, schema)
+
+
+def _slices(at: int, out: str, batch: int) -> Callable[[pa.RecordBatch, Callable[[Sequence[str]], Sequence[str]]], Iterator[pa.RecordBatch]]:
+    """A function that gives an Arrow batch with the column ``out``, in slices; it needs nothing of this package on a worker."""
+
+    def run(frame, model):
+        done = []
+        start = size = 0
+        for i in range(0, frame.num_rows, batch):
+            texts = frame.column(at).slice(i, batch).to_pylist()
+            made = list(model(texts))
+            if len(made) != len(texts):
+                raise ValueError(f"the translator gave {len(made)} texts for {len(texts)}")
+            done += made
+            size += sum(len(t) for x in (texts, made) for t in x if t is not None)
+            if len(done) >= SEND_ROWS or size >= SEND_CHARS or start + len(done) == frame.num_rows:
+                own = frame.slice(start, len(done))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(done, pa.string())], names=[*own.schema.names, out])
+                start, done, size = start + len(done), [], 0
+
+    return run
 
 
 def tokenize(df: DataFrame, load: Callable[[str, str], Callable[[Sequence[str], Sequence[str]], tuple[Sequence[list[int]], Sequence[list[int]]]]], max_length: int) -> DataFrame:

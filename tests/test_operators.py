@@ -362,3 +362,21 @@ def test_recall_judges_lines_in_place(spark, monkeypatch):
     assert one.collect() == boundary.boundary_recall(lines, marks).collect() == [(2, 5, 4, 1, 1, 0.8)]
     monkeypatch.undo()
     assert tuple(boundary.boundary_recall(lines, marks.limit(0)).first()) == (2, 5, 0, 5, 0, 0.0)
+
+
+def test_translation_holds_few_rows(spark):
+    import pyarrow as pa
+
+    frame, calls = pa.record_batch({"row_id": [*range(5000)], "dz": ["x" * 50_000 if i < 100 else None if i == 4999 else "y" for i in range(5000)]}), []
+
+    def model(texts):
+        calls.append(len(texts))
+        return texts
+
+    parts = synth._slices(1, "en", 32)(frame, model)
+    next(parts)
+    assert calls == [32]  # long texts leave at once
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert max(calls) == 32 and sum(calls) == 5000 and len(rows) == 4968 and all(r["dz"] == r["en"] for r in rows)
+    df = spark.createDataFrame([(0, None), (1, "a")], "row_id long, dz string")
+    assert sorted(map(tuple, synth.translate(df, "dz", "en", lambda: lambda ts: ts).collect())) == [(0, None, None), (1, "a", "a")]
